@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import materialise, sliced
 
 WIDTH = 5
 #: Unit words that a number may carry.
@@ -146,7 +146,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, bits: int =
     found = _windows_of(docs, "doc_id", widths or [WIDTH], spark.sparkContext.broadcast(flags))  # 2**bits bytes
     i = items.select("w", "width", F.col("id").alias("item_id"), F.col("at").alias("item_at"), "n_words", F.col("slots").alias("item_slots"))
     m = found.select("w", "width", F.col("id").alias("doc_id"), "at", "plain", "slots").join(i, ["w", "width"])
-    m = m.withColumn("along", F.col("at") - F.col("item_at"))
+    m = materialise(m.withColumn("along", F.col("at") - F.col("item_at")), "matches")  # read twice below
     pair = ["doc_id", "item_id", "along"]
     # along one alignment, a value of the item that stands for two values of the document is a chance match
     slots = m.where(F.size("slots") > 0).select(*pair, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
