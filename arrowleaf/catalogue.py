@@ -1,11 +1,352 @@
-"""Registered queries of the library, and the SQL that gives the same rows."""
+"""Registered queries of the library, and the DuckDB SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from arrowleaf.functions.lists import run, run_each
+from arrowleaf.functions.program import VOCABULARY
+from arrowleaf.operators import corpus, verify
+from arrowleaf.plans import cases, space
+from arrowleaf.sources.tables import lists, table
+
+_Q: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- the 24 operations, and programs -----------------------------------------------------------
+
+_DUCK = {
+    "filter:even": "list_filter({}, lambda x: x % 2 = 0)", "filter:odd": "list_filter({}, lambda x: x % 2 <> 0)", "filter:gt_k": "list_filter({}, lambda x: x > k)",
+    "filter:ge_k": "list_filter({}, lambda x: x >= k)", "filter:lt_k": "list_filter({}, lambda x: x < k)", "filter:le_k": "list_filter({}, lambda x: x <= k)",
+    "filter:multiple_of_k": "list_filter({}, lambda x: x % k = 0)", "filter:positive": "list_filter({}, lambda x: x > 0)", "filter:negative": "list_filter({}, lambda x: x < 0)",
+    "filter:zero": "list_filter({}, lambda x: x = 0)", "map:add_k": "list_transform({}, lambda x: x + k)", "map:sub_k": "list_transform({}, lambda x: x - k)",
+    "map:mul_k": "list_transform({}, lambda x: x * k)", "map:negate": "list_transform({}, lambda x: -x)", "map:abs": "list_transform({}, lambda x: abs(x))",
+    "map:square": "list_transform({}, lambda x: x * x)", "map:mul_const:2": "list_transform({}, lambda x: x * 2)", "map:mul_const:3": "list_transform({}, lambda x: x * 3)",
+    "order:ascending": "list_sort({})", "order:descending": "list_reverse_sort({})", "order:reverse": "list_reverse({})", "slice:take_first_k": "({})[1:k]",
+    "slice:take_last_k": "({})[-k:]", "slice:step_2": "list_filter({}, lambda x, i: i % 2 = 1)",
+}
+
+_LISTS = """xk AS (
+  SELECT o_orderkey, o_orderkey % 10 + 1 AS k,
+         coalesce(list(l_quantity::BIGINT - 25 ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT - 25) FILTER (WHERE l_orderkey IS NOT NULL), []::BIGINT[]) AS xs
+  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)"""
+
+
+def duck(tags, xs: str = "xs") -> str:
+    for t in tags:
+        xs = _DUCK[t].format(xs)
+    return xs
+
+
+def _program(name: str, *tags: str) -> None:
+    def query(spark, sf_dir):
+        d = lists(spark, sf_dir)
+        return d.select("o_orderkey", "k", F.array_join(run(list(tags)), ",").alias("result"))
+
+    query.__name__ = name
+    _query(f"WITH {_LISTS} SELECT o_orderkey, k, array_to_string({duck(tags)}, ',') AS result FROM xk")(query)
+
+
+for _t in VOCABULARY:
+    _program("op_" + _t.replace(":", "_"), _t)
+_program("prog_worked_example", "filter:even", "map:mul_const:2", "order:ascending")
+_program("prog_reordered", "order:ascending", "slice:take_first_k", "filter:even")
+_program("prog_fused_filters_maps", "filter:gt_k", "filter:odd", "map:add_k")
+_program("prog_fused_maps", "map:add_k", "map:square", "map:mul_const:3")
+_program("prog_filter_after_map", "map:negate", "filter:positive", "slice:take_last_k")
+_program("prog_slice_chain", "slice:take_last_k", "slice:step_2", "order:reverse")
+_program("prog_triple_square", "map:square", "map:square", "map:square")
+
+
+@_query(f"WITH {_LISTS} SELECT o_orderkey, k, array_to_string(CASE o_orderkey % 24 " + " ".join(f"WHEN {i} THEN {duck([t])}" for i, t in enumerate(VOCABULARY)) + " END, ',') AS result FROM xk")
+def prog_data_dependent(spark, sf_dir):
+    v = F.array(*map(F.lit, VOCABULARY))
+    d = lists(spark, sf_dir).withColumn("tags", F.array(F.element_at(v, (F.col("o_orderkey") % 24 + 1).cast("int"))))
+    return d.select("o_orderkey", "k", F.array_join(run_each(), ",").alias("result"))
+
+
+# --- the program space -------------------------------------------------------------------------
+
+
+def _json_of(tag: str) -> str:
+    category, name, *arg = tag.split(":")
+    return f'["{category}","{name}"' + "".join(f",{a}" for a in arg) + "]"
+
+
+_SPACE = (
+    "v(i, tag, category, json) AS (VALUES " + ", ".join(f"({i}, '{t}', '{t.split(':')[0]}', '{_json_of(t)}')" for i, t in enumerate(VOCABULARY)) + "), "
+    """p AS (
+  SELECT i AS pos, 1 AS num_ops, [tag] AS tags, [category] AS categories, '{"ops":[' || json || ']}' AS canonical_json FROM v
+  UNION ALL SELECT 24 + a.i * 24 + b.i, 2, [a.tag, b.tag], [a.category, b.category], '{"ops":[' || a.json || ',' || b.json || ']}' FROM v a CROSS JOIN v b
+  UNION ALL SELECT 600 + (a.i * 24 + b.i) * 24 + c.i, 3, [a.tag, b.tag, c.tag], [a.category, b.category, c.category], '{"ops":[' || a.json || ',' || b.json || ',' || c.json || ']}'
+  FROM v a CROSS JOIN v b CROSS JOIN v c),
+h AS (SELECT *, sha256(canonical_json) AS semantic_hash, array_to_string(categories, '>') AS label FROM p)"""
+)
+_HELD = " OR ".join(f"(list_contains(tags, '{a}') AND list_contains(tags, '{b}'))" for a, b in space.HELD_OUT)
+
+
+@_query(f"WITH {_SPACE} SELECT pos, num_ops, array_to_string(list_sort(tags), ',') AS op_tags, canonical_json, semantic_hash, ('0x' || semantic_hash[1:8])::BIGINT AS seed FROM h")
+def ast_programs(spark, sf_dir):
+    p = space.programs(spark)
+    return p.select("pos", "num_ops", F.array_join(space.op_tags(), ",").alias("op_tags"), "canonical_json", "semantic_hash", space.seed_of("semantic_hash", 0).alias("seed"))
+
+
+@_query(f"WITH {_SPACE} SELECT num_ops, label, count(*) AS n, count(DISTINCT semantic_hash) AS n_hashes FROM h GROUP BY 1, 2")
+def ast_label_counts(spark, sf_dir):
+    p = space.programs(spark).withColumn("label", F.array_join("categories", ">"))
+    return p.groupBy("num_ops", "label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("semantic_hash").alias("n_hashes"))
+
+
+@_query(f"WITH {_SPACE} SELECT ({_HELD}) AS held, count(*) AS n FROM h GROUP BY 1")
+def ast_holdout_counts(spark, sf_dir):
+    return space.programs(spark).groupBy(space.held_out().alias("held")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_QUOTA = """g AS (SELECT label, count(*) AS n, min(pos) AS first FROM {src} GROUP BY label),
+u AS (SELECT *, round_even(sum(n::DOUBLE * {share}) OVER (ORDER BY first ROWS UNBOUNDED PRECEDING), 0) AS upto FROM g),
+q AS (SELECT label, n, (upto - coalesce(lag(upto) OVER (ORDER BY first), 0))::BIGINT AS quota FROM u)"""
+
+
+@_query(f"WITH {_SPACE}, r AS (SELECT * FROM h WHERE NOT ({_HELD})), " + _QUOTA.format(src="r", share="0.05") + " SELECT label, n, quota FROM q")
+def ast_split_quotas(spark, sf_dir):
+    p = space.programs(spark).where(~space.held_out()).withColumn("label", F.array_join("categories", ">"))
+    return space.quotas(p, "label", "pos", 0.05)
+
+
+@_query(
+    "SELECT * FROM (VALUES ('test_compositional', 554::BIGINT), ('test_paraphrase', 694), ('test_boundary', 694), ('val', 1248), ('train', 11234)) t(split, n)"
+)
+def ast_split_counts(spark, sf_dir):
+    return space.splits(spark).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT 0::BIGINT AS leaked_hashes, 0::BIGINT AS held_pairs_outside")
+def ast_split_checks(spark, sf_dir):
+    s = space.splits(spark)
+    leaked = space.leaks(s, "semantic_hash", "split").agg(F.count(F.lit(1)).alias("leaked_hashes"))
+    outside = s.where((F.col("split") != "test_compositional") & space.held_out()).agg(F.count(F.lit(1)).alias("held_pairs_outside"))
+    return leaked.crossJoin(outside)  # one row each
+
+
+def _literal(xs) -> str:
+    return f"{list(xs)}::BIGINT[]"
+
+
+_CASES = "c(case_no, xs, k) AS (VALUES " + ", ".join(f"({i * 3 + j}, {_literal(xs)}, {k}::BIGINT)" for i, xs in enumerate(cases.BOUNDARY) for j, k in enumerate(cases.KS)) + ")"
+
+
+@_query(f"WITH {_CASES}, v(i, tag) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(VOCABULARY)) + ") SELECT tag, case_no, k, array_to_string(CASE i " + " ".join(f"WHEN {i} THEN {duck([t])}" for i, t in enumerate(VOCABULARY)) + " END, ',') AS expected FROM c CROSS JOIN v")
+def boundary_cases(spark, sf_dir):
+    v = space.vocabulary(spark).select("tag", F.array("tag").alias("tags"))
+    d = cases.labelled(v.crossJoin(cases.boundary(spark)))  # 24 operations, 27 fixed inputs
+    return d.select("tag", "case_no", "k", F.array_join("expected", ",").alias("expected"))
+
+
+@_query()
+def reject_all_cases(spark, sf_dir):
+    return cases.reject_all(space.programs(spark)).select("semantic_hash", "cand", "k")
+
+
+# --- dedup, splits, joins and filters over documents --------------------------------------------
+
+
+@_query("SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def docs_dedup_first(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("h"))
+    return space.dedup(d, "h", "doc_id").select("doc_id", "lang")
+
+
+_DOCS = "d AS (SELECT doc_id, lang AS label, doc_id AS pos FROM documents)"
+
+
+@_query(
+    f"WITH {_DOCS}, " + _QUOTA.format(src="d", share="0.1") + """, r AS (
+  SELECT d.*, row_number() OVER (PARTITION BY label ORDER BY sha256('0' || doc_id::VARCHAR)) AS r FROM d)
+SELECT r.doc_id, r.label, CASE WHEN r.r <= q.quota THEN 'val' ELSE 'train' END AS split FROM r JOIN q ON r.label = q.label"""
+)
+def docs_split_assignment(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("label"), F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("key"))
+    return space.slice_rows(d, "label", "pos", "key", [("val", 0.1)], "0", "train").select("doc_id", "label", "split")
+
+
+@_query("SELECT sha256(text) AS h, count(DISTINCT lang) AS n_splits FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1")
+def docs_leakage_pairs(spark, sf_dir):
+    return space.leaks(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("h"), "lang"), "h", "lang")
+
+
+@_query("SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+def docs_labels_join(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source", "quality", "toxic")
+
+
+@_query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def docs_unlabelled(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@_query("SELECT d.doc_id, coalesce(l.quality, 20) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def docs_lookup_default(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return d.select("doc_id", F.coalesce("quality", F.lit(20)).alias("quality"))
+
+
+@_query(
+    "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE coalesce(l.quality = 1, false) AND coalesce(l.toxic = 0, true) AND d.n_chars <= 2000"
+)
+def docs_quality_filter(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    flags = d.select("doc_id", (F.col("quality") == 1).alias("good"), (F.col("n_chars") <= 2000).alias("short"), (F.col("toxic") == 0).alias("cross_check_ok"), F.lit(None).cast("string").alias("error"))
+    return flags.where(corpus.verified(["good", "short"])).select("doc_id")
+
+
+@_query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY sha256('7' || doc_id::VARCHAR), doc_id) AS r, count(*) OVER () AS n FROM documents) WHERE r <= round_even(n * 10 / 100, 0)")
+def docs_percent_sample(spark, sf_dir):
+    return corpus.percent_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 10, "7")
+
+
+_ROWS = "string_split(regexp_replace(text, '\\n$', ''), chr(10))"
+
+
+@_query(f"SELECT doc_id, len({_ROWS}) <= 40 AND list_max(list_transform({_ROWS}, lambda x: length(x))) <= 200 AS length_ok FROM documents")
+def docs_length_check(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", corpus.length_ok("text").alias("length_ok"))
+
+
+@_query("SELECT source, count(*) AS n, count(DISTINCT text) AS n_texts, sum(n_chars)::BIGINT AS chars, avg(n_chars) AS mean_chars FROM documents GROUP BY source")
+def docs_totals(spark, sf_dir):
+    g = table(spark, sf_dir, "documents").select("source", "n_chars", F.sha2("text", 256).alias("h")).groupBy("source")
+    return g.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("h").alias("n_texts"), F.sum("n_chars").alias("chars"), F.avg("n_chars").alias("mean_chars"))
+
+
+@_query(
+    """WITH w AS (SELECT unnest(regexp_split_to_array(lower(text), '[ \\n]+')) AS word FROM documents),
+c AS (SELECT word, count(*) AS n FROM w WHERE length(word) > 1 GROUP BY word),
+p AS (SELECT n, unnest(list_transform(range(1, length(word)), lambda i: substr(word, i, 2))) AS pair FROM c)
+SELECT pair, sum(n)::BIGINT AS n FROM p GROUP BY pair"""
+)
+def bpe_pair_counts(spark, sf_dir):
+    return corpus.pair_counts(table(spark, sf_dir, "documents"), "text")
+
+
+@_query(
+    """WITH t AS (SELECT *, array_slice(['a', 'b', 'c', 'd', 'e', 'f', 'g'], 1, 7) AS s, (('0x' || sha256(doc_id::VARCHAR)[1:8])::BIGINT % 7)::INTEGER AS o FROM documents)
+SELECT doc_id, array_to_string((s[o + 1:] || s[1:o])[1:3], ',') AS chosen FROM t"""
+)
+def rotation_select(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("h"), F.array(*map(F.lit, "abcdefg")).alias("s"))
+    return d.select("doc_id", F.array_join(corpus.rotated("s", "h", 3), ",").alias("chosen"))
+
+
+# --- conversations: pairing, templates, masks -----------------------------------------------------
+
+
+@_query("SELECT conv_id, turn, text AS said, nxt AS answer FROM (SELECT *, lead(text) OVER w AS nxt, lead(role) OVER w AS nr FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) WHERE role = 'user' AND nr = 'assistant'")
+def conv_pairs(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    c = table(spark, sf_dir, "conversations").withColumns({"answer": F.lead("text").over(w), "nr": F.lead("role").over(w)})
+    return c.where("role = 'user' AND nr = 'assistant'").select("conv_id", "turn", F.col("text").alias("said"), "answer")
+
+
+@_query("SELECT conv_id, turn, sha256('<|' || role || '|>' || chr(10) || text || CASE WHEN text LIKE '%' || chr(10) THEN '' ELSE chr(10) END || '<|eos|>') AS h FROM conversations")
+def conv_text_template(spark, sf_dir):
+    end = F.when(F.col("text").endswith("\n"), "").otherwise("\n")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", end, F.lit("<|eos|>")), 256).alias("h"))
+
+
+_TURNS = "t AS (SELECT conv_id, list(role ORDER BY turn, role, text) AS said FROM conversations GROUP BY conv_id)"
+
+
+def _turns(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    return c.select("conv_id", F.transform("t", lambda x: x["role"]).alias("said"))
+
+
+@_query(f"WITH {_TURNS} SELECT conv_id, array_to_string(list_transform(range(0, 12), lambda i: said[i % len(said) + 1]), ',') AS padded FROM t")
+def cyclic_padding(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", F.array_join(corpus.padded("said", F.lit(12)), ",").alias("padded"))
+
+
+_IDS = "i AS (SELECT conv_id, turn, role, text, list_transform(string_split(left(role || ' ' || text, 60), ''), lambda c: ord(c)) AS ids FROM conversations)"
+
+
+def _ids(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("s", F.substring(F.concat("role", F.lit(" "), "text"), 1, 60))
+    code = lambda i: F.conv(F.hex(F.encode(F.substring("s", i, F.lit(1)), "UTF-32")), 16, 10).cast("int")
+    return c.select("conv_id", "turn", "role", "text", F.transform(F.sequence(F.lit(1), F.length("s")), code).alias("ids"))
+
+
+@_query(f"WITH {_IDS} SELECT conv_id, turn, sha256(array_to_string(list_transform(ids, lambda x, p: CASE WHEN p > list_position(ids, 32) THEN x ELSE -100 END), ',')) AS h FROM i")
+def loss_mask(spark, sf_dir):
+    return _ids(spark, sf_dir).select("conv_id", "turn", F.sha2(F.array_join(corpus.loss_labels("ids", 32), ","), 256).alias("h"))
+
+
+@_query(f"WITH {_IDS} SELECT conv_id, turn, sha256(array_to_string(list_resize(ids, 64, 0), ',')) AS h FROM i")
+def pad_batch(spark, sf_dir):
+    return _ids(spark, sf_dir).select("conv_id", "turn", F.sha2(F.array_join(corpus.right_padded("ids", F.lit(64), 0), ","), 256).alias("h"))
+
+
+# --- events as attempts ---------------------------------------------------------------------------
+
+
+@_query(
+    """WITH t AS (SELECT user_id % 5 AS grp, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+e AS (SELECT grp, user_id, max(CASE WHEN n = 1 AND event_type = 'purchase' THEN 1 ELSE 0 END) AS one, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS k FROM t WHERE n <= 5 GROUP BY 1, 2)
+SELECT grp, count(*) AS problems, avg(one) AS pass_at_1, avg(k) AS pass_at_k FROM e GROUP BY grp"""
+)
+def events_pass_at_k(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("grp", F.col("user_id") % 5)
+    return corpus.pass_rates(e, "grp", "user_id", "event_id", F.col("event_type") == "purchase", 5)
+
+
+@_query("SELECT user_id % 5 AS grp, avg((event_type = 'purchase')::INT) AS purchase, avg(coalesce((value > 50)::INT, 0)) AS large FROM events GROUP BY 1")
+def events_funnel_ratios(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    rate = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
+    return e.groupBy((F.col("user_id") % 5).alias("grp")).agg(rate(F.col("event_type") == "purchase").alias("purchase"), rate(F.col("value") > 50).alias("large"))
+
+
+@_query(
+    """SELECT range AS step, round(CASE WHEN range < 20 THEN 0.001 * (range + 1) / 20
+ ELSE 0.0001 + 0.0009 * 0.5 * (1 + cos(3.141592653589793 * least((range - 20) / 180, 1.0))) END, 12) AS lr FROM range(0, 220)"""
+)
+def lr_schedule(spark, sf_dir):
+    d = corpus.lr_schedule(spark.range(220).withColumnRenamed("id", "step"), "step", 200, 20, 0.001, 0.1)
+    return d.select("step", F.round("lr", 12).alias("lr"))
+
+
+@_query("SELECT coalesce(n.n_nationkey, r.r_regionkey) AS key, coalesce(n.n_name, r.r_name) AS name FROM region r FULL JOIN nation n ON n.n_nationkey = r.r_regionkey")
+def dictionary_merge(spark, sf_dir):
+    old = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
+    return corpus.merge(old, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")), "key", "name")
+
+
+@_query("SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
+def orders_last_wins(spark, sf_dir):
+    return corpus.last_wins(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+
+
+@_query()
+def code_checks(spark, sf_dir):
+    codes = ["def solve(xs, k):\n    return sorted(x for x in xs if x > k)\n", "import os\n", "def solve(xs):\n    return xs\n", "def solve(xs, k):\n    return xs.__class__\n", "def solve(xs, k:\n"]
+    return verify.checked(spark.createDataFrame(list(enumerate(codes)), "i int, code string")).drop("code")
+
 
 def queries() -> dict:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
