@@ -14,7 +14,12 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,35 +33,91 @@ from .common import sliced
 ORC = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.stripe.size": str(16 << 20)}
 
 
-class Chunks(dict):
-    """White-space chunk -> its ids as little-endian 32-bit integers, by the tokenizers library.
+#: Marks that are a piece of their own at the end of a word.
+_MARKS = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+#: Letters that normalisation only lower-cases and that pre-tokenization keeps together.
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
-    The vocabulary's tokenizer drops white space and treats each chunk between ASCII white space by
-    itself, so a text's ids are those of its chunks in order.
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Chunks:
+    """Chunk of a text -> its ids as little-endian 32-bit integers, by the tokenizers library.
+
+    The tokenizer drops white space and treats each chunk between ASCII white space by itself, so a
+    text's ids are those of its chunks in order.  Marks at the end of a word are a chunk too.  Chunks
+    of plain Latin-1 letters skip the normaliser and go to the library's model at once.
     """
 
-    def __init__(self, spec: str, limit: int = 300_000):
+    def __init__(self, spec: str, limit: int = 900_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.known: dict[bytes, bytes] = {}
         self.tokenizer, self.limit = Tokenizer.from_str(spec), limit
+        kept = json.loads(spec)
+        steps = [x.get("type") for x in (kept.get("normalizer") or {}).get("normalizers", [])]
+        self.direct = steps == ["NFC", "Replace", "Lowercase"] and not kept["model"].get("dropout")
+        self.letters = _byte_letters()
 
     def learn(self, chunks: set[bytes]) -> None:
-        if len(self) + len(chunks) > self.limit:
-            self.clear()
-        new = [c for c in chunks if c not in self]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for c, e in zip(some, self.tokenizer.encode_batch([c.decode() for c in some], add_special_tokens=False), strict=True):
-                self[c] = np.array(e.ids, "<i4").tobytes()
+        known = self.known
+        if len(known) + len(chunks) > self.limit:
+            known.clear()
+        ended: list[tuple[bytes, bytes]] = []
+        parts: set[bytes] = set()
+        for c in chunks.difference(known):
+            word = c.rstrip(_MARKS) if self.direct and b"<|" not in c else c
+            if word and word is not c and len(word) < len(c) and 97 <= word[-1] <= 122:
+                ended.append((word, c[len(word) :]))
+                parts.update(ended[-1])
+            else:
+                parts.add(c)
+        self._resolve(parts.difference(known))
+        for word, marks in ended:
+            known[word + marks] = known[word] + known[marks]
+
+    def _resolve(self, chunks: set[bytes]) -> None:
+        names, plain, whole = [], [], []
+        letters = self.letters
+        for c in chunks:
+            text = c.decode()
+            if self.direct and _PLAIN.fullmatch(text):
+                plain.append(c)
+                text = text.lower()
+                names.append(text if text.isascii() else "".join(map(letters.__getitem__, text.encode())))
+            else:
+                whole.append(c)
+        tokenize = self.tokenizer.model.tokenize
+        self._keep(plain, [[t.id for t in tokenize(n)] for n in names])
+        for at in range(0, len(whole), 5_000):
+            some = whole[at : at + 5_000]
+            self._keep(some, [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)])
+
+    def _keep(self, chunks: list[bytes], ids: list[list[int]]) -> None:
+        flat, at = np.fromiter(chain.from_iterable(ids), "<i4").tobytes(), 0
+        for c, own in zip(chunks, ids, strict=True):
+            self.known[c] = flat[at : (at := at + 4 * len(own))]
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        cut = [t.encode().split() if t else [] for t in texts]
+        # lower-casing A-Z first changes no ids, but could make a special token's string
+        cut = [(t.encode().lower() if self.direct and "<|" not in t else t.encode()).split() if t else [] for t in texts]
         self.learn(set().union(*cut))
-        get = self.__getitem__
+        get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
 
+@lru_cache(maxsize=1)
+def _chunks(spec: str) -> Chunks:
+    """A Python worker's own chunks, kept from task to task."""
+    return Chunks(spec)
+
+
 def write(docs: DataFrame, path: str, spec: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all documents below ``path`` in ascending id order."""
     spark = docs.sparkSession
@@ -64,7 +125,7 @@ def write(docs: DataFrame, path: str, spec: str, end_id: int = 2, id_col: str =
     end = np.array([end_id], "<i4").tobytes()
 
     def run(batches):
-        chunks, part, before = Chunks(shared.value), TaskContext.get().partitionId(), 0
+        chunks, part, before = _chunks(shared.value), TaskContext.get().partitionId(), 0
         for big in batches:
             for b in sliced(big):
                 ids = [x + end for x in chunks.encode_many(b.column(1).to_pylist())]
