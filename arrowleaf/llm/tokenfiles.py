@@ -54,7 +54,7 @@ class Chunks:
     of plain Latin-1 letters skip the normaliser and go to the library's model at once.
     """
 
-    def __init__(self, spec: str, limit: int = 900_000):
+    def __init__(self, spec: str, limit: int = 650_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -63,41 +63,49 @@ class Chunks:
         kept = json.loads(spec)
         steps = [x.get("type") for x in (kept.get("normalizer") or {}).get("normalizers", [])]
         self.direct = steps == ["NFC", "Replace", "Lowercase"] and not kept["model"].get("dropout")
-        self.letters = _byte_letters()
+        self.letters = {b: c for b, c in _byte_letters().items() if b != 10}
 
     def learn(self, chunks: set[bytes]) -> None:
         known = self.known
         if len(known) + len(chunks) > self.limit:
+            kept = [(c, known[c]) for c in chunks if c in known]  # the common ones stay
             known.clear()
+            known.update(kept)
+        new = chunks.difference(known)
+        words = [c for c in new if c.isalpha()]  # of ASCII letters alone
         ended: list[tuple[bytes, bytes]] = []
-        parts: set[bytes] = set()
-        for c in chunks.difference(known):
-            word = c.rstrip(_MARKS) if self.direct and b"<|" not in c else c
-            if word and word is not c and len(word) < len(c) and 97 <= word[-1] <= 122:
-                ended.append((word, c[len(word) :]))
-                parts.update(ended[-1])
-            else:
-                parts.add(c)
+        if self.direct and words:
+            self._plain(words, b"\n".join(words).decode().lower())
+        parts = {c for c in new if not c.isalpha()} if self.direct else new
+        if self.direct:
+            for c in [c for c in parts if c[-1] < 128 and b"<|" not in c]:
+                word = c.rstrip(_MARKS)
+                if word and len(word) < len(c) and 97 <= word[-1] <= 122:
+                    parts.discard(c)
+                    ended.append((word, c[len(word) :]))
+            for pair in ended:
+                parts.update(pair)
         self._resolve(parts.difference(known))
         for word, marks in ended:
             known[word + marks] = known[word] + known[marks]
 
     def _resolve(self, chunks: set[bytes]) -> None:
-        names, plain, whole = [], [], []
-        letters = self.letters
-        for c in chunks:
-            text = c.decode()
-            if self.direct and _PLAIN.fullmatch(text):
-                plain.append(c)
-                text = text.lower()
-                names.append(text if text.isascii() else "".join(map(letters.__getitem__, text.encode())))
-            else:
-                whole.append(c)
+        names = list(chunks)
+        texts = b"\n".join(names).decode().split("\n") if names else []
+        if self.direct:
+            plain = [_PLAIN.fullmatch(t) is not None for t in texts]
+            if some := [c for c, p in zip(names, plain, strict=True) if p]:
+                low = "\n".join(t for t, p in zip(texts, plain, strict=True) if p).lower()
+                self._plain(some, low.encode().decode("latin-1").translate(self.letters))
+            names, texts = [c for c, p in zip(names, plain, strict=True) if not p], [t for t, p in zip(texts, plain, strict=True) if not p]
+        for at in range(0, len(names), 5_000):
+            got = self.tokenizer.encode_batch_fast(texts[at : at + 5_000], add_special_tokens=False)
+            self._keep(names[at : at + 5_000], [e.ids for e in got])
+
+    def _plain(self, chunks: list[bytes], names: str) -> None:
+        """Chunks whose byte-level letters are given, parted by line ends."""
         tokenize = self.tokenizer.model.tokenize
-        self._keep(plain, [[t.id for t in tokenize(n)] for n in names])
-        for at in range(0, len(whole), 5_000):
-            some = whole[at : at + 5_000]
-            self._keep(some, [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)])
+        self._keep(chunks, [[t.id for t in tokenize(n)] for n in names.split("\n")])
 
     def _keep(self, chunks: list[bytes], ids: list[list[int]]) -> None:
         flat, at = np.fromiter(chain.from_iterable(ids), "<i4").tobytes(), 0
@@ -127,7 +135,7 @@ def write(docs: DataFrame, path: str, spec: str, end_id: int = 2, id_col: str =
     def run(batches):
         chunks, part, before = _chunks(shared.value), TaskContext.get().partitionId(), 0
         for big in batches:
-            for b in sliced(big):
+            for b in sliced(big, 2_000_000):
                 ids = [x + end for x in chunks.encode_many(b.column(1).to_pylist())]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = np.cumsum([0, *n])
