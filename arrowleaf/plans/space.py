@@ -21,18 +21,23 @@ def vocabulary(spark: SparkSession) -> DataFrame:
 
 
 def programs(spark: SparkSession) -> DataFrame:
-    """Every program: pos, num_ops, tags, categories, canonical_json, semantic_hash.  24 + 24^2 + 24^3 rows."""
-    v = vocabulary(spark)
-    one = v.select(F.array(F.struct("i", "tag", "category", "json")).alias("ops"))
-    step = lambda d: d.crossJoin(one.withColumnRenamed("ops", "more")).select(F.concat("ops", "more").alias("ops"))
-    two = step(one)
-    every = one.unionByName(two).unionByName(step(two))
-    json = F.concat(F.lit('{"ops":['), F.array_join(F.transform("ops", lambda o: o["json"]), ","), F.lit("]}"))
-    number = F.aggregate("ops", F.lit(0), lambda a, o: a * 24 + o["i"])
-    start = F.when(F.size("ops") == 1, 0).when(F.size("ops") == 2, 24).otherwise(24 + 24 * 24)
-    out = every.select(
-        (start + number).alias("pos"), F.size("ops").alias("num_ops"), F.transform("ops", lambda o: o["tag"]).alias("tags"), F.transform("ops", lambda o: o["category"]).alias("categories"), json.alias("canonical_json")
-    )
+    """Every program: pos, num_ops, tags, categories, canonical_json, semantic_hash.  24 + 24^2 + 24^3 rows.
+
+    A position is read as digits to the base of the vocabulary, so enumeration is one projection.
+    """
+    n = len(VOCABULARY)
+    starts = [0, n, n + n * n, n + n * n + n * n * n]
+    parts = [t.split(":") for t in VOCABULARY]
+    json = ['["' + '","'.join(p[:2]) + '"' + "".join(f",{a}" for a in p[2:]) + "]" for p in parts]
+    pos = F.col("id").cast("int")
+    size = F.when(pos < starts[1], 1).when(pos < starts[2], 2).otherwise(3)
+    rest = pos - F.when(pos < starts[1], starts[0]).when(pos < starts[2], starts[1]).otherwise(starts[2])
+    digit = lambda k: F.expr(f"cast(rest div {n**k} as int) % {n} + 1")
+    digits = F.slice(F.array(digit(2), digit(1), digit(0)), 4 - F.col("num_ops"), F.col("num_ops"))
+    named = lambda names: F.transform("digits", lambda d: F.element_at(F.array(*map(F.lit, names)), d))
+    d = spark.range(starts[3]).select(pos.alias("pos"), size.alias("num_ops"), rest.alias("rest")).withColumn("digits", digits)
+    text = F.concat(F.lit('{"ops":['), F.array_join(named(json), ","), F.lit("]}"))
+    out = d.select("pos", "num_ops", named(VOCABULARY).alias("tags"), named([p[0] for p in parts]).alias("categories"), text.alias("canonical_json"))
     return out.withColumn("semantic_hash", F.sha2("canonical_json", 256))
 
 
