@@ -42,30 +42,33 @@ class Ftrl:
     bits: int = 20
     alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 4.0  # for samples of 6,000 rows and more; in proportion for smaller ones
+    l1: float = 4.0
     l2: float = 1.0
-    epochs: int = 6
+    epochs: int = 5
     index: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = 0.0
 
     def fit(self, rows: list[np.ndarray], y: np.ndarray, threshold: float = 0.3) -> Ftrl:
-        """Learn, then move the bias so that the best F1 on every fifth row falls at ``threshold``."""
+        """Learn, and move the bias so that the cut of best cross-validated F1 falls at ``threshold``."""
         if not len(y) or y.min() == y.max():
             p = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
             self.bias = float(np.log(p / (1 - p)))
             return self
-        held = np.arange(len(y)) % 5 == 4
-        w, b = self._learn([r for r, h in zip(rows, held, strict=True) if not h], y[~held])
-        if held.any() and 0 < y[held].sum():
-            raw = np.array([w[r].sum() + b for r, h in zip(rows, held, strict=True) if h])
-            order = np.argsort(-raw, kind="stable")
-            hit = np.cumsum(y[held][order])
-            f1 = 2 * hit / (np.arange(1, len(raw) + 1) + y[held].sum())
-            j = int(np.argmax(f1))
-            cut = (raw[order[j]] + raw[order[min(j + 1, len(raw) - 1)]]) / 2
-        else:
-            cut = 0.0
+        # every row is scored by a model that has not seen it; the cut of best F1 becomes the threshold
+        fold, raw = np.arange(len(y)) % 3, np.zeros(len(y))
+        for k in range(3):
+            w, b = self._learn([r for r, h in zip(rows, fold, strict=True) if h != k], y[fold != k])
+            raw[fold == k] = [w[r].sum() + b for r, h in zip(rows, fold, strict=True) if h == k]
+        order = np.argsort(-raw, kind="stable")
+        hit = np.cumsum(y[order])
+        n = np.arange(1, len(raw) + 1)
+        last = np.append(raw[order][1:] < raw[order][:-1], True)  # of rows with equal scores
+        f1 = np.where(last & (hit >= 0.5 * n), 2 * hit / (n + y.sum()), 0)
+        j = int(np.argmax(f1))
+        # without a cut of which half are positive nothing that was learnt tells the labels apart
+        cut = (raw[order[j]] + raw[order[min(j + 1, len(raw) - 1)]]) / 2 if f1[j] else raw.max() + 1.0
+        w, b = self._learn(rows, y)
         self.index = np.flatnonzero(w).astype(np.uint32)
         self.weight = w[self.index]
         self.bias = float(b - cut + np.log(threshold / (1 - threshold)))
@@ -75,10 +78,9 @@ class Ftrl:
         size = (1 << self.bits) + 1  # the last is the bias, without L1
         z, n = np.zeros(size), np.zeros(size)
         rows = [np.append(r, np.uint32(size - 1)) for r in rows]
-        strength = self.l1 * min(1.0, max(len(rows), 400) / 4800)
 
         def weights(zi, ni):
-            l1 = np.full(len(zi), strength)
+            l1 = np.full(len(zi), self.l1)
             l1[-1] = 0
             return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((self.beta + np.sqrt(ni)) / self.alpha + self.l2))
 
