@@ -246,17 +246,26 @@ def test_katz(spark, docs, none):
 
 def test_katz_sums_to_one(spark):
     train = spark.createDataFrame([(x,) for x in ["a b a b c", "a b d", "", "c a", "b b b a", "e f g a b", None] * 3 + ["z y x a"]], "text string")
-    for room in (2_000_000, 5):
-        m, words = katz.fit(train, max_pairs=room)
+    texts = spark.createDataFrame([(i, x) for i, x in enumerate(["a b a b c", "q a zz b", "", None, "b b b a x a b"])], "doc_id int, text string")
+    scores = []
+    for room in (4_000_000, 5, 0):
+        m, table = katz.fit(train, max_pairs=room)
+        rest = table.toPandas()
+        pairs = rest[rest.kind == katz.PAIR]
+        assert len(m.pair) <= room and m.whole == (len(pairs) == 0)
+        gain = {**dict(zip(m.pair.tolist(), m.pair_gain, strict=True)), **dict(zip(pairs.key, pairs.gain, strict=True))}
         ids = np.array([i for i in range(len(m.count)) if i != katz.BEGIN])
         for h in range(len(m.count)):
             if h != katz.END:
-                key = h << 16 | ids
-                p = [10 ** (m.pair_log[a] if (a := np.searchsorted(m.pair, k)) < len(m.pair) and m.pair[a] == k else m.back_log[h] + m.single_log[w]) for k, w in zip(key.tolist(), ids.tolist(), strict=True)]
+                p = [10 ** (m.back_log[h] + m.single_log[w] + gain.get(h << 16 | w, 0)) for w in ids.tolist()]
                 assert sum(p) == pytest.approx(1)
-        rare = words.toPandas()
-        rare = rare[~rare.key.isin(m.word.view(np.int64))].n.to_numpy()
+        rare = rest[rest.kind == katz.WORD].n.to_numpy()
         assert (10 ** m.rare_log(rare)).sum() + 10**m.unseen_log == pytest.approx(1)
+        scores.append({r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in katz.score(texts, m, table).collect()})
+    for other in scores[1:]:  # what is broadcast does not change a score
+        assert all(other[i] == pytest.approx(scores[0][i]) for i in range(5))
+    m, table = katz.fit(train.limit(0))
+    assert all(np.isfinite(r.score) and r.n_known == 0 for r in katz.score(texts, m, table).collect())
     k = np.array([0, 1, 127, 128, 2**40, 2**63], np.uint64)
     assert katz.unpack(katz.pack(k)).tolist() == k.tolist() and len(katz.unpack(katz.pack(k[:0]))) == 0
 
