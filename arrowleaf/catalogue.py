@@ -279,13 +279,13 @@ def cyclic_padding(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", F.array_join(corpus.padded("said", F.lit(12)), ",").alias("padded"))
 
 
-_IDS = "i AS (SELECT conv_id, turn, role, text, list_transform(string_split(left(role || ' ' || text, 60), ''), lambda c: ord(c)) AS ids FROM conversations)"
+_IDS = "i AS (SELECT conv_id, turn, role, text, list_transform(string_split(role || ' ' || text, ''), lambda c: ord(c)) AS ids FROM conversations)"
 
 
 def _ids(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").withColumn("s", F.substring(F.concat("role", F.lit(" "), "text"), 1, 60))
-    code = lambda i: F.conv(F.hex(F.encode(F.substring("s", i, F.lit(1)), "UTF-32")), 16, 10).cast("int")
-    return c.select("conv_id", "turn", "role", "text", F.transform(F.sequence(F.lit(1), F.length("s")), code).alias("ids"))
+    c = table(spark, sf_dir, "conversations")
+    chars = F.split(F.concat("role", F.lit(" "), "text"), "")
+    return c.select("conv_id", "turn", "role", "text", F.transform(chars, F.ascii).alias("ids"))
 
 
 @_query(f"WITH {_IDS} SELECT conv_id, turn, sha256(array_to_string(list_transform(ids, lambda x, p: CASE WHEN p > list_position(ids, 32) THEN x ELSE -100 END), ',')) AS h FROM i")
@@ -293,9 +293,12 @@ def loss_mask(spark, sf_dir):
     return _ids(spark, sf_dir).select("conv_id", "turn", F.sha2(F.array_join(corpus.loss_labels("ids", 32), ","), 256).alias("h"))
 
 
-@_query(f"WITH {_IDS} SELECT conv_id, turn, sha256(array_to_string(list_resize(ids, 64, 0), ',')) AS h FROM i")
+@_query(f"WITH {_IDS} SELECT conv_id, turn, sha256(array_to_string(list_resize(ids, max(len(ids)) OVER (PARTITION BY conv_id), 0), ',')) AS h FROM i")
 def pad_batch(spark, sf_dir):
-    return _ids(spark, sf_dir).select("conv_id", "turn", F.sha2(F.array_join(corpus.right_padded("ids", F.lit(64), 0), ","), 256).alias("h"))
+    """A conversation is a batch: its turns are padded to the longest of them."""
+    ids = _ids(spark, sf_dir).select("conv_id", "turn", "ids")
+    longest = ids.groupBy("conv_id").agg(F.max(F.size("ids")).alias("n"))
+    return ids.join(longest, "conv_id").select("conv_id", "turn", F.sha2(F.array_join(corpus.right_padded("ids", F.col("n"), 0), ","), 256).alias("h"))
 
 
 # --- events as attempts ---------------------------------------------------------------------------
