@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,26 +76,25 @@ class Ftrl:
         return self
 
     def _learn(self, rows, y):
-        size = (1 << self.bits) + 1  # the last is the bias, without L1
-        z, n = np.zeros(size), np.zeros(size)
-        rows = [np.append(r, np.uint32(size - 1)) for r in rows]
+        z, n = np.zeros(1 << self.bits), np.zeros(1 << self.bits)
+        zb = nb = 0.0  # the bias, without L1
+        rate = lambda ni: (self.beta + np.sqrt(ni)) / self.alpha + self.l2
 
         def weights(zi, ni):
-            l1 = np.full(len(zi), self.l1)
-            l1[-1] = 0
-            return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((self.beta + np.sqrt(ni)) / self.alpha + self.l2))
+            return np.where(np.abs(zi) <= self.l1, 0.0, -(zi - np.sign(zi) * self.l1) / rate(ni))
 
         deal = np.random.default_rng(7)
         for _ in range(self.epochs):
             for i in deal.permutation(len(rows)):
                 r = rows[i]
                 zi, ni = z[r], n[r]
-                w = weights(zi, ni)
-                g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y[i]
+                w, wb = weights(zi, ni), -zb / rate(nb)
+                g = 1 / (1 + np.exp(-np.clip(w.sum() + wb, -35, 35))) - y[i]
                 z[r] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / self.alpha * w
                 n[r] = ni + g * g
-        w = weights(z, n)
-        return w[:-1], w[-1]
+                zb += g - (np.sqrt(nb + g * g) - np.sqrt(nb)) / self.alpha * wb
+                nb += g * g
+        return weights(z, n), -zb / rate(nb)
 
     def dense(self) -> np.ndarray:
         out = np.zeros(1 << self.bits)
@@ -102,6 +102,18 @@ class Ftrl:
         return out
 
 
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Each row's slots, as views of the column's own memory."""
+    out: list[np.ndarray] = []
+    for c in column.cast(pa.binary()).chunks:
+        _, ends, data = c.buffers()
+        if len(c):
+            at = np.frombuffer(ends, np.int32)[c.offset : c.offset + len(c) + 1] // 4
+            x = np.frombuffer(data, np.uint32, data.size // 4) if data else np.zeros(0, np.uint32)
+            out += [x[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str, fold_ok, sample: int = 16_000, model: Ftrl | None = None) -> Ftrl:
     """Learn from at most ``sample`` labelled rows; ``fold_ok`` says which ids may be learnt from."""
     model = model or Ftrl()
@@ -116,9 +128,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, fold_ok, sample: int = 1
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(feats, pa.binary())], ["id", "y", "f"])
 
     d = docs.select(F.col("doc_id").alias("sample_id"), "text").join(F.broadcast(ids), "sample_id")
-    got = d.select(F.xxhash64("sample_id").alias("id"), "y", "text").mapInArrow(run, "id long, y int, f binary").toArrow().sort_by([("id", "ascending"), ("f", "ascending")])
-    rows = [np.frombuffer(x, np.uint32) for x in got.column("f").to_pylist()]
-    return model.fit(rows, got.column("y").to_numpy().astype(float))
+    got = d.select(F.xxhash64("sample_id").alias("id"), "y", "text").mapInArrow(run, "id long, y int, f binary").toArrow()
+    order = pc.sort_indices(got, sort_keys=[("id", "ascending"), ("f", "ascending")]).to_numpy()
+    rows = _views(got.column("f"))
+    return model.fit([rows[i] for i in order], got.column("y").to_numpy()[order].astype(float))
 
 
 def score(docs: DataFrame, model: Ftrl, threshold: float = 0.3) -> DataFrame:
