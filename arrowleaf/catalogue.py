@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from arrowleaf.functions.lists import run, run_each
 from arrowleaf.functions.program import VOCABULARY
-from arrowleaf.operators import corpus, verify
+from arrowleaf.operators import corpus, render, verify
 from arrowleaf.plans import cases, space
 from arrowleaf.sources.tables import lists, table
 
@@ -347,6 +347,36 @@ def code_checks(spark, sf_dir):
     return verify.checked(spark.createDataFrame(list(enumerate(codes)), "i int, code string")).drop("code")
 
 
+# --- programs as source code ------------------------------------------------------------------------
+
+_FITS = "CASE WHEN list_has_any(categories, ['filter', 'map']) THEN 60 ELSE 52 END + CASE WHEN list_contains(tags, 'order:reverse') THEN 2 ELSE 0 END"
+
+
+@_query(f"WITH {_SPACE} SELECT ({_FITS})::BIGINT AS n_styles, count(*) AS n FROM h GROUP BY 1")
+def style_gate_counts(spark, sf_dir):
+    p = space.programs(spark).select(F.size(render.applicable()).cast("long").alias("n_styles"))
+    return p.groupBy("n_styles").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(
+    "WITH " + _SPACE + ", s(code_style, needs) AS (VALUES " + ", ".join(f"('{s.name}', {list(s.needs)}::VARCHAR[])" for s in render.STYLES) + """)
+SELECT code_style, count(*) AS n FROM s JOIN h ON len(needs) = 0 OR list_has_any(tags || categories, needs) GROUP BY 1"""
+)
+def style_usage_counts(spark, sf_dir):
+    p = space.programs(spark).select(F.explode(render.applicable()).alias("at"))
+    name = F.element_at(F.array(*[F.lit(s.name) for s in render.STYLES]), F.col("at") + 1)
+    return p.groupBy("at").agg(F.count(F.lit(1)).alias("n")).select(name.alias("code_style"), "n")
+
+
+@_query()
+def code_variants(spark, sf_dir):
+    """Every program in every style: how many sources, how many distinct, and their largest extent."""
+    v = render.variants(space.programs(spark).repartition("pos"))
+    lines = F.split("code", "\n")  # the last is empty: a source ends with a line break
+    sized = v.select("pos", "code_sha256", (F.size(lines) - 1).alias("rows"), F.array_max(F.transform(lines, F.length)).alias("width"))
+    return sized.groupBy("pos").agg(F.count(F.lit(1)).alias("n_codes"), F.count_distinct("code_sha256").alias("n_distinct"), F.max("rows").alias("max_lines"), F.max("width").alias("max_chars"))
+
+
 def queries() -> dict:
     return dict(_Q)
 
