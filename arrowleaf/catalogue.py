@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from arrowleaf.functions.lists import run, run_each
 from arrowleaf.functions.program import VOCABULARY
-from arrowleaf.operators import corpus, render, verify
+from arrowleaf.operators import corpus, dictionary, render, verify
 from arrowleaf.plans import cases, space
 from arrowleaf.sources.tables import lists, table
 
@@ -347,6 +347,17 @@ def code_checks(spark, sf_dir):
     return verify.checked(spark.createDataFrame(list(enumerate(codes)), "i int, code string")).drop("code")
 
 
+@_query(
+    """WITH e AS (SELECT r_name AS key, n_nationkey AS idx FROM nation JOIN region ON n_regionkey = r_regionkey),
+w AS (SELECT *, count(*) OVER (PARTITION BY key) AS n, row_number() OVER (PARTITION BY key ORDER BY sha256('0:' || key || ':' || idx::VARCHAR), idx) AS r FROM e)
+SELECT key, idx, CASE WHEN n < 2 OR key LIKE 'frame:%' THEN 'shared' WHEN r <= least(greatest(1, round_even(n * 0.25, 0)), n - 1) THEN 'reserved' ELSE 'train' END AS pool FROM w"""
+)
+def template_pools(spark, sf_dir):
+    r = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("key"))
+    n = table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_nationkey").alias("idx"))
+    return dictionary.pools(n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("key", "idx"), "0")
+
+
 # --- programs as source code ------------------------------------------------------------------------
 
 _FITS = "CASE WHEN list_has_any(categories, ['filter', 'map']) THEN 60 ELSE 52 END + CASE WHEN list_contains(tags, 'order:reverse') THEN 2 ELSE 0 END"
