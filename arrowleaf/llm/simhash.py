@@ -346,7 +346,11 @@ def _lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, value: str
 
 def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """``docs`` with every column, one row for each component: one of the smallest id."""
-    rows = _grouped(docs, width, radius)
+    return first_rows(docs, _grouped(docs, width, radius))
+
+
+def first_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each root of ``rows`` (doc_id, row_hash, root)."""
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")).alias("k"))
     keep = first.select(F.col("k.doc_id").alias("_id"), F.col("k.row_hash").alias("_row")).distinct()
     d = docs.withColumn("_hash", F.xxhash64("text"))
