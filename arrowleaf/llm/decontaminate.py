@@ -10,7 +10,8 @@ least ``share`` of the item's words.
 
 Defined cases: null and empty texts hold nothing; items of fewer than five words match only a text
 that is no longer; items without words match nothing; repeated rows and equal items give each
-pair once; windows that are mostly placeholders take part only beside others; no rows give no rows;
+pair once; rows of one id (a null one too) with different texts are judged apart, ``leaks`` giving the
+best of them; windows that are mostly placeholders take part only beside others; no rows give no rows;
 other columns are ignored by ``leaks`` and kept by ``clean``.
 """
 
@@ -99,14 +100,14 @@ def _values(tokens: list[str], slot: np.ndarray, at: int, width: int) -> list[st
 
 
 def _windows_of(df: DataFrame, id_col: str, widths: list[int] | None, bloom) -> DataFrame:
-    """(id, w, at, width, n_words, plain, slots): windows with positions and slot values."""
+    """(id, row, w, at, width, n_words, plain, slots): windows with positions and slot values."""
 
     def run(batches):
         words = Words()
         for big in batches:
             for b in sliced(big):
-                rows = ([], [], [], [], [], [], [])
-                for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = ([], [], [], [], [], [], [], [])
+                for key, row, text in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                     code, slot, tokens = canonical(text, words)
                     own = [min(WIDTH, len(code))] if widths is None else widths
                     for width in own:
@@ -117,13 +118,13 @@ def _windows_of(df: DataFrame, id_col: str, widths: list[int] | None, bloom) ->
                         marked = np.convolve(slot, np.ones(width, int), "valid") if slot.any() else np.zeros(len(w), int)
                         for i in at.tolist():
                             n = int(marked[i])
-                            for c, v in zip(rows, (key, int(w[i].view(np.int64)), i, width, len(code), 2 * n <= width, _values(tokens, slot, i, width) if n else []), strict=True):
+                            for c, v in zip(rows, (key, row, int(w[i].view(np.int64)), i, width, len(code), 2 * n <= width, _values(tokens, slot, i, width) if n else []), strict=True):
                                 c.append(v)
-                kinds = [b.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["id", "w", "at", "width", "n_words", "plain", "slots"])
+                kinds = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["id", "row", "w", "at", "width", "n_words", "plain", "slots"])
 
-    d = df.select(F.col(id_col).alias("id"), "text")
-    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, w long, at int, width int, n_words int, plain boolean, slots array<string>")
+    d = df.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("row"), "text")
+    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, row long, w long, at int, width int, n_words int, plain boolean, slots array<string>")
 
 
 def _bloom(items: DataFrame, bits: int) -> tuple[np.ndarray, list[int]]:
@@ -135,37 +136,44 @@ def _bloom(items: DataFrame, bits: int) -> tuple[np.ndarray, list[int]]:
     return flags, sorted(set(got.column("width").to_pylist()))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, bits: int = 21) -> DataFrame:
-    """(doc_id, item_id, coverage, n_windows, kind): which items each document holds.
-
-    kind is 'exact' when all slot values are the item's own, else 'reparameterised'.
-    """
+def _held(docs: DataFrame, benchmark: DataFrame, share: float, bits: int) -> DataFrame:
+    """(doc_id, row, item_id, coverage, n_windows, kind): which items each text holds; row is its hash."""
     spark = docs.sparkSession
     items = _windows_of(benchmark, "item_id", None, None)
     flags, widths = _bloom(items, bits)
     found = _windows_of(docs, "doc_id", widths or [WIDTH], spark.sparkContext.broadcast(flags))  # 2**bits bytes
-    i = items.select("w", "width", F.col("id").alias("item_id"), F.col("at").alias("item_at"), "n_words", F.col("slots").alias("item_slots"))
-    m = found.select("w", "width", F.col("id").alias("doc_id"), "at", "plain", "slots").join(i, ["w", "width"])
+    i = items.select("w", "width", F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("at").alias("item_at"), "n_words", F.col("slots").alias("item_slots"))
+    m = found.select("w", "width", F.col("id").alias("doc_id"), "row", "at", "plain", "slots").join(i, ["w", "width"])
     m = materialise(m.withColumn("along", F.col("at") - F.col("item_at")), "matches")  # read twice below
-    pair = ["doc_id", "item_id", "along"]
+    pair = ["doc_id", "row", "item_id", "item_row", "along"]
     # along one alignment, a value of the item that stands for two values of the document is a chance match
     slots = m.where(F.size("slots") > 0).select(*pair, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
     wrong = slots.groupBy(*pair, F.col("s.item_slots").alias("v")).agg(F.min("s.slots").alias("lo"), F.max("s.slots").alias("hi")).where("lo <> hi").select(*[F.col(c).alias(f"_{c}") for c in pair]).distinct()
     m = m.join(wrong, [m[c].eqNullSafe(wrong[f"_{c}"]) for c in pair], "left_anti")
-    spot = m.groupBy("doc_id", "item_id", "item_at").agg(
+    spot = m.groupBy("doc_id", "row", "item_id", "item_row", "item_at").agg(
         F.max("width").alias("width"), F.max("n_words").alias("n_words"), F.max(F.col("plain").cast("int")).alias("plain"), F.max((F.to_json("slots") == F.to_json("item_slots")).cast("int")).alias("same")
     )
-    per = spot.groupBy("doc_id", "item_id").agg(
+    per = spot.groupBy("doc_id", "row", "item_id", "item_row").agg(
         F.count(F.lit(1)).alias("n_windows"), F.max("n_words").alias("n_words"), F.max("width").alias("width"), F.max("plain").alias("plain"), F.min("same").alias("same"),
         F.array_sort(F.collect_list("item_at")).alias("starts"),
     )
     covered = F.aggregate("starts", F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end")), lambda a, x: F.struct((a["sum"] + F.col("width") - F.greatest(F.lit(0), a["end"] - x)).alias("sum"), (x + F.col("width")).alias("end")))["sum"]
     per = per.withColumn("coverage", covered / F.col("n_words"))
     kind = F.when(F.col("same") == 1, "exact").otherwise("reparameterised")
-    return per.where((F.col("coverage") >= share) & (F.col("plain") == 1)).select("doc_id", "item_id", "coverage", "n_windows", kind.alias("kind"))
+    return per.where((F.col("coverage") >= share) & (F.col("plain") == 1)).select("doc_id", "row", "item_id", "coverage", "n_windows", kind.alias("kind"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, bits: int = 21) -> DataFrame:
+    """(doc_id, item_id, coverage, n_windows, kind): which items each document holds.
+
+    kind is 'exact' when all slot values are the item's own, else 'reparameterised'.
+    """
+    best = F.max(F.struct("coverage", (F.col("kind") == "exact").alias("own"), "n_windows", "kind")).alias("b")
+    return _held(docs, benchmark, share, bits).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.coverage", "b.n_windows", "b.kind")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.8) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, bits: int = 21) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item."""
-    bad = leaks(docs, benchmark, share).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
+    bad = _held(docs, benchmark, share, bits).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
+    d = docs.withColumn("_hash", F.xxhash64("text"))
+    return d.join(bad, d["doc_id"].eqNullSafe(bad["_id"]) & (d["_hash"] == bad["_row"]), "left_anti").select(*docs.columns)
