@@ -1,11 +1,13 @@
 """Benchmark decontamination by template windows.
 
 Words become templates: numbers, units after numbers and names (capitalised inside a sentence) turn
-into typed placeholders, other words are stripped of punctuation and lower-cased.  Windows of five
-template words are hashed; windows of documents that a small Bloom filter of the benchmark lets pass
+into typed placeholders, other words are stripped of punctuation and lower-cased.  Numbers are split from
+letters and equals signs beside them.  A capitalised word that opens a sentence may be a name or not:
+windows that hold one are taken in both forms.  Windows of five template words are hashed; windows of documents that a small Bloom filter of the benchmark lets pass
 are hash-joined with those of the items.  A match must be slot-consistent: along one alignment each
 value of the item stands for one value of the document, so re-parameterised questions are caught and
-chance matches of placeholders are not.  A document holds an item when its matched windows cover at
+chance matches of placeholders are not; windows with openers as names are held to that among all
+windows, and without them the others stand as they are.  A document holds an item when its matched windows cover at
 least ``share`` of the item's words.
 
 Defined cases: null and empty texts hold nothing; items of fewer than five words match only a text
@@ -35,16 +37,18 @@ UNITS = frozenset(
     "percent degree degrees celsius fahrenheit kelvin joule joules watt watts volt volts amp amps newton newtons hz khz mhz ghz kmh mph".split()
 )
 _NUMBER = re.compile(r"[+\-]?[$€£]?\d[\d.,:/]*%?")
+_MIXED = re.compile(r"(?<=\d)(?=-?[^\W\d_])|(?<=[^\W\d_])(?=\d)|(?<=[^\W\d_]-)(?=\d)|(?<==)(?=[+\-]?[$€£]?\d)|(?<=\d)(?==)")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _TITLE = re.compile(r"[^\W\d_][^\W\d_A-Z]*[a-z][\w'’-]*")
 _N, _U, _P = (xxhash.xxh64_intdigest(f"<{x}>") for x in ("number", "unit", "name"))
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 #: The low bits of a word's code.
-STOP, TITLE, UNIT, NUMBER, EMPTY = 1, 2, 4, 8, 16
+STOP, TITLE, UNIT, NUMBER, EMPTY, MIXED = 1, 2, 4, 8, 16, 32
+FLAGS = 63
 
 
 class Words(dict):
-    """token -> hash of the plain word with five flag bits; at most ``limit`` are remembered."""
+    """token -> hash of the plain word with six flag bits; at most ``limit`` are remembered."""
 
     limit = 300_000
 
@@ -55,19 +59,25 @@ class Words(dict):
             flags |= EMPTY
         elif _NUMBER.fullmatch(plain):
             flags |= NUMBER
+        elif _MIXED.search(token):
+            flags |= MIXED
         else:
             flags |= UNIT * (plain.lower() in UNITS) | TITLE * (plain[0].isupper() and bool(_TITLE.fullmatch(plain)))
         if len(self) >= self.limit:
             self.clear()
-        self[token] = code = xxhash.xxh64_intdigest(plain.lower()) & ~31 | flags
+        self[token] = code = xxhash.xxh64_intdigest(plain.lower()) & ~FLAGS | flags
         return code
 
 
-def canonical(text: str | None, words: Words) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Template codes, slot flags and tokens of a text, without tokens of punctuation alone."""
+def canonical(text: str | None, words: Words) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Template codes, slot flags, tokens and possible names that open sentences, without tokens of punctuation alone."""
     tokens = text.split() if text else []
     code = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
-    flags = (code & np.uint64(31)).astype(np.uint8)
+    flags = (code & np.uint64(FLAGS)).astype(np.uint8)
+    if (flags & MIXED).any():
+        tokens = [x for t, f in zip(tokens, flags.tolist(), strict=True) for x in (_MIXED.split(t) if f & MIXED else (t,))]
+        code = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
+        flags = (code & np.uint64(FLAGS)).astype(np.uint8)
     some = flags & EMPTY == 0
     begin = np.ones(len(code), bool)  # of a sentence
     begin[1:] = flags[:-1] & STOP != 0
@@ -79,9 +89,9 @@ def canonical(text: str | None, words: Words) -> tuple[np.ndarray, np.ndarray, l
     unit[1:] = (flags[1:] & UNIT != 0) & number[:-1]
     name = (flags & TITLE != 0) & ~begin
     slot = number | unit | name
-    out = code & ~np.uint64(31)
+    out = code & ~np.uint64(FLAGS)
     out[number], out[unit], out[name] = _N, _U, _P
-    return out, slot, tokens
+    return out, slot, tokens, (flags & TITLE != 0) & begin & ~slot
 
 
 def windows(code: np.ndarray, width: int) -> np.ndarray:
@@ -100,31 +110,41 @@ def _values(tokens: list[str], slot: np.ndarray, at: int, width: int) -> list[st
 
 
 def _windows_of(df: DataFrame, id_col: str, widths: list[int] | None, bloom) -> DataFrame:
-    """(id, row, w, at, width, n_words, plain, slots): windows with positions and slot values."""
+    """(id, row, w, at, width, n_words, plain, opened, slots): windows with positions and slot values.
+
+    ``opened`` windows take the capitalised words that open sentences as names.
+    """
 
     def run(batches):
         words = Words()
         for big in batches:
             for b in sliced(big):
-                rows = ([], [], [], [], [], [], [], [])
+                rows = ([], [], [], [], [], [], [], [], [])
                 for key, row, text in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                    code, slot, tokens = canonical(text, words)
+                    code, slot, tokens, first = canonical(text, words)
+                    forms = [(False, code, slot)]
+                    if first.any():
+                        forms.append((True, np.where(first, np.uint64(_P), code), slot | first))
                     own = [min(WIDTH, len(code))] if widths is None else widths
                     for width in own:
                         if not width or len(code) < width or width < WIDTH and len(code) != width:
                             continue
-                        w = windows(code, width)
-                        at = np.arange(len(w)) if bloom is None else np.flatnonzero(bloom.value[(w & np.uint64(len(bloom.value) - 1)).astype(np.int64)])
-                        marked = np.convolve(slot, np.ones(width, int), "valid") if slot.any() else np.zeros(len(w), int)
-                        for i in at.tolist():
-                            n = int(marked[i])
-                            for c, v in zip(rows, (key, row, int(w[i].view(np.int64)), i, width, len(code), 2 * n <= width, _values(tokens, slot, i, width) if n else []), strict=True):
-                                c.append(v)
-                kinds = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["id", "row", "w", "at", "width", "n_words", "plain", "slots"])
+                        for opened, form, taken in forms:
+                            w = windows(form, width)
+                            keep = np.ones(len(w), bool) if bloom is None else bloom.value[(w & np.uint64(len(bloom.value) - 1)).astype(np.int64)]
+                            if opened:
+                                keep = keep & (np.convolve(first, np.ones(width, int), "valid") > 0)
+                            marked = np.convolve(taken, np.ones(width, int), "valid") if taken.any() else np.zeros(len(w), int)
+                            for i in np.flatnonzero(keep).tolist():
+                                n = int(marked[i])
+                                row_of = (key, row, int(w[i].view(np.int64)), i, width, len(code), 2 * n <= width, opened, _values(tokens, taken, i, width) if n else [])
+                                for c, v in zip(rows, row_of, strict=True):
+                                    c.append(v)
+                kinds = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["id", "row", "w", "at", "width", "n_words", "plain", "opened", "slots"])
 
     d = df.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("row"), "text")
-    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, row long, w long, at int, width int, n_words int, plain boolean, slots array<string>")
+    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, row long, w long, at int, width int, n_words int, plain boolean, opened boolean, slots array<string>")
 
 
 def _bloom(items: DataFrame, bits: int) -> tuple[np.ndarray, list[int]]:
@@ -142,14 +162,21 @@ def _held(docs: DataFrame, benchmark: DataFrame, share: float, bits: int) -> Dat
     items = _windows_of(benchmark, "item_id", None, None)
     flags, widths = _bloom(items, bits)
     found = _windows_of(docs, "doc_id", widths or [WIDTH], spark.sparkContext.broadcast(flags))  # 2**bits bytes
-    i = items.select("w", "width", F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("at").alias("item_at"), "n_words", F.col("slots").alias("item_slots"))
-    m = found.select("w", "width", F.col("id").alias("doc_id"), "row", "at", "plain", "slots").join(i, ["w", "width"])
-    m = materialise(m.withColumn("along", F.col("at") - F.col("item_at")), "matches")  # read twice below
+    i = items.select("w", "width", F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("at").alias("item_at"), "n_words", F.col("opened").alias("item_opened"), F.col("slots").alias("item_slots"))
+    m = found.select("w", "width", F.col("id").alias("doc_id"), "row", "at", "plain", "opened", "slots").join(i, ["w", "width"])
+    opened = F.col("opened") | F.col("item_opened")
+    m = materialise(m.withColumn("along", F.col("at") - F.col("item_at")).withColumn("opened", opened).drop("item_opened"), "matches")  # read twice below
     pair = ["doc_id", "row", "item_id", "item_row", "along"]
-    # along one alignment, a value of the item that stands for two values of the document is a chance match
-    slots = m.where(F.size("slots") > 0).select(*pair, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-    wrong = slots.groupBy(*pair, F.col("s.item_slots").alias("v")).agg(F.min("s.slots").alias("lo"), F.max("s.slots").alias("hi")).where("lo <> hi").select(*[F.col(c).alias(f"_{c}") for c in pair]).distinct()
-    m = m.join(wrong, [m[c].eqNullSafe(wrong[f"_{c}"]) for c in pair], "left_anti")
+    # along one alignment, a value of the item that stands for two values of the document is a chance match;
+    # without the windows of opened sentences this drops all, with them only these
+    slots = m.where(F.size("slots") > 0).select(*pair, "opened", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
+    literal = F.when(~F.col("opened"), F.col("s.slots"))
+    wrong = slots.groupBy(*pair, F.col("s.item_slots").alias("v")).agg(
+        F.min("s.slots").alias("lo"), F.max("s.slots").alias("hi"), F.min(literal).alias("lo0"), F.max(literal).alias("hi0")
+    )
+    wrong = wrong.where("lo <> hi").groupBy(*[F.col(c).alias(f"_{c}") for c in pair]).agg(F.max(F.coalesce(F.col("lo0") != F.col("hi0"), F.lit(False))).alias("_all"))
+    same = [m[c].eqNullSafe(wrong[f"_{c}"]) for c in pair]
+    m = m.join(wrong, [*same, m["opened"] | wrong["_all"]], "left_anti")
     spot = m.groupBy("doc_id", "row", "item_id", "item_row", "item_at").agg(
         F.max("width").alias("width"), F.max("n_words").alias("n_words"), F.max(F.col("plain").cast("int")).alias("plain"), F.max((F.to_json("slots") == F.to_json("item_slots")).cast("int")).alias("same")
     )
