@@ -1,21 +1,28 @@
 """HTML extraction by site template removal.
 
-Every block element's subtree (tag, classes, text of all below) is hashed.  Spark counts, for each
-host, on how many different article bodies each hash occurs; subtrees that recur on many of them are
-the site's template and are deleted from its pages.  Copies of one article count once, and inside an
-article only containers may be template, never its paragraphs or headings.  What hosts of few pages
-leave is settled by structure: navigation, headers, footers, asides, forms, scripts, hidden parts and
-elements whose class, id or role names such a part go; the text is that of the articles, else of the
-main element, else of the body without blocks that are mostly links.
-
-Defined cases: null and empty html give the empty text; broken markup is repaired as browsers do
-(open paragraphs end at the next block, stray end tags are ignored); a null url is the empty host;
-repeated rows give repeated results; no rows give no rows; other columns are ignored.
+A page is parsed once into its blocks of text in page order and the spans of blocks that its elements
+cover.  Every block element's subtree (tag, classes, text of all below) is hashed; lists of links outside
+an article are hashed by their shape too (tags and classes, runs of equal siblings as one), as their
+targets differ from page to page.  Spark counts, for each host, on how many different article bodies each
+hash occurs; subtrees on ``min_pages`` of them are the site's template and their spans are deleted from
+the host's pages.  Copies of one article count once.  Inside an article a paragraph, heading or list item
+by itself is template only when at least half of all bodies of its host hold it: articles quote alike.
+
+Rules of structure settle what no template covers, as on hosts of few pages: navigation, site headers,
+footers, asides, forms, scripts, hidden parts and elements whose role or whole class or id names such a
+part are never text; the text is that of the articles, else of the main element, else of the body without
+blocks that are mostly links.
+
+Defined cases: null and empty html give the empty text; broken markup is repaired as browsers do (open
+paragraphs end at the next block, the head ends at the first element of the body, stray end tags are
+ignored); a null url is the empty host; repeated rows give repeated results; rows of one id with different
+html are pages of their own; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -25,14 +32,17 @@ from pyspark.sql import functions as F
 
 from .common import materialise, skew_safe_semi, sliced
 
+_INNER = r"""(?:[^>"']++|"[^"]*"|'[^']*')*+"""
 _MARK = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|math|canvas|object|audio|video|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|noscript|iframe|noembed|noframes|textarea|title)(?=[\s/>]){_INNER}>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({_INNER})>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*\Z",
     re.S | re.I,
 )
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-_NAME = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_PIECE = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEAD = frozenset("base basefont bgsound link meta title script style noscript template head".split())
+FOREIGN = frozenset(("svg", "math"))
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
     "html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -47,42 +57,67 @@ ENDS = {
     "tr": (frozenset(["tr"]), _TABLE), "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
+#: An end tag of a block does not look beyond these.
+SCOPE = frozenset("table td th caption button object template".split())
+TABLES = frozenset("table tbody thead tfoot tr td th caption".split())
 #: Never main text, and never main text outside an article.
-DROP = frozenset("nav aside form button select textarea input label dialog menu footer frameset applet option datalist".split())
+DROP = frozenset("nav aside form button select textarea input label dialog menu footer frameset applet option datalist head template svg canvas object audio video".split())
 DROP_OUTSIDE = frozenset(["header"])
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar status".split())
+#: Words that name such a part, and words that may stand beside them in a class or id.
 NAMED = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside cookie cookies consent gdpr notice notices alert popup modal overlay "
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer comments comment disqus respond reply replies share sharing social related recommended newsletter "
     "subscribe subscription signup login search skip toolbar widget complementary contentinfo".split()
 )
 NAMED_OUTSIDE = frozenset("header masthead topbar".split())
-#: Inside an article only these may be a site's template.
+BESIDE = frozenset(
+    "box block bar bars list links link button buttons btn btns section wrapper wrap container area panel slot unit posts articles stories items item content inner outer main top bottom "
+    "left right site global primary secondary mobile desktop sticky fixed form icons icon group row col module component message text body".split()
+)
+#: Inside an article these may be template at any host; and these alone are judged by an id.
 CONTAINER = frozenset("div section ul ol dl table figure aside nav header footer form menu details".split())
 
 
+@lru_cache(1 << 16)
+def _named(token: str) -> tuple[bool, bool, bool]:
+    """Whether a class or id names a part that is never text; outside an article only; by one word."""
+    parts = [p.lower() for p in _PIECE.split(token) if p]
+    rest = [p for p in parts if p not in NAMED and p not in BESIDE and not p.isdigit()]
+    hit = any(p in NAMED for p in parts) and not rest
+    outside = bool(parts) and all(p in NAMED_OUTSIDE for p in rest) and (hit or bool(rest))
+    return hit, outside, len(parts) == 1 and hit
+
+
 class Node:
-    __slots__ = ("tag", "parts", "names", "role", "hidden", "main", "key")
+    __slots__ = ("tag", "parts", "classes", "ident", "role", "hidden", "main", "key", "shape", "size", "linked")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.parts = tag, []
-        self.names, self.hidden, self.main, self.key, self.role = (), False, tag == "main", 0, ""
-        if attrs and ("=" in attrs or "hidden" in attrs.lower()):
-            names = []
+        self.classes, self.ident, self.role, self.hidden, self.main = (), "", "", False, tag == "main"
+        self.key = self.shape = self.size = self.linked = 0
+        if attrs:
+            seen = set()
             for m in _ATTR.finditer(attrs):
                 what, value = m[1].lower(), (m[2] or "").strip("\"'")
-                if what in ("class", "id"):
-                    names += [x.lower() for x in _NAME.split(value) if x]
+                if what in seen:
+                    continue
+                seen.add(what)
+                if what == "class":
+                    self.classes = tuple(unescape(value).split())
+                elif what == "id":
+                    self.ident = unescape(value).strip()
                 elif what == "role":
-                    self.role = value.lower()
-                    names.append(self.role)
+                    self.role = value.strip().lower()
                     self.main = self.main or self.role == "main"
                 elif what == "itemprop":
                     self.main = self.main or value == "articleBody"
                 elif what == "style":
-                    self.hidden = self.hidden or "display:none" in value.replace(" ", "").lower()
-                else:
-                    self.hidden = self.hidden or what == "hidden" or value.lower() == "true"
-            self.names = tuple(names)
+                    self.hidden = self.hidden or "display:none" in "".join(value.split()).lower()
+                elif what == "hidden":
+                    self.hidden = self.hidden or value.lower() != "until-found"
+                elif what == "aria-hidden":
+                    self.hidden = self.hidden or value.lower() == "true"
 
 
 def parse(html: str | None) -> Node:
@@ -91,31 +126,45 @@ def parse(html: str | None) -> Node:
     stack = [root]
     if not html:
         return root
-    at = 0
+    at, foreign, head = 0, 0, False
+
+    def text(a: int, b: int) -> None:
+        nonlocal head
+        if head and html[a:b].strip():
+            head = False
+            _end(stack, ("head",), ())
+        stack[-1].parts.append(html[a:b])
+
     for m in _MARK.finditer(html):
         if m.start() > at:
-            stack[-1].parts.append(html[at : m.start()])
+            text(at, m.start())
         at = m.end()
         name = m[3] or m[6]
         if not name:
             continue
         tag = name.lower()
         if m[2] or m[5]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            _close(stack, tag)
+            foreign -= tag in FOREIGN and foreign > 0
+            head = head and tag != "head"
             continue
+        if head and tag not in HEAD:
+            head = False
+            _end(stack, ("head",), ())
         if tag in ENDS_P:
-            _end(stack, ("p",), ("button", "table", "#"))
+            _end(stack, ("p",), ("button", "table", "td", "th", "caption"))
         if tag in ENDS:
             _end(stack, *ENDS[tag])
-        node = Node(tag, m[4] or m[7] or "")
+        attrs = m[4] or m[7] or ""
+        node = Node(tag, attrs)
         stack[-1].parts.append(node)
-        if tag not in VOID and not (m[4] or m[7] or "").endswith("/"):
+        closed = attrs.endswith("/") and (foreign or tag in FOREIGN)  # elsewhere a slash means nothing
+        if tag not in VOID and not closed:
             stack.append(node)
+            foreign += tag in FOREIGN
+            head = head or tag == "head"
     if at < len(html):
-        stack[-1].parts.append(html[at:])
+        text(at, len(html))
     return root
 
 
@@ -128,6 +177,22 @@ def _end(stack: list[Node], tags, bounds) -> None:
             return
 
 
+def _close(stack: list[Node], tag: str) -> None:
+    """An end tag: an inline one does not end blocks, a block's does not leave its table cell."""
+    if tag in ("body", "html"):
+        return
+    if tag in TABLES:
+        bounds = frozenset() if tag == "table" else _TABLE
+    else:
+        bounds = SCOPE if tag in BLOCK else BLOCK
+    for i in range(len(stack) - 1, 0, -1):
+        if stack[i].tag == tag:
+            del stack[i:]
+            return
+        if stack[i].tag in bounds:
+            return
+
+
 def _walk(node: Node):
     """Nodes below, each after what is below it, without recursion."""
     todo, out = [node], []
@@ -139,83 +204,122 @@ def _walk(node: Node):
 
 
 def hash_subtrees(root: Node) -> None:
-    """Give every element the hash of its tag, names and everything below."""
+    """Give every element the hash of all below, its shape, and its sizes of text and of linked text."""
     for n in _walk(root):
-        h = xxhash.xxh64(f"{n.tag} {' '.join(n.names)}")
+        own = f"{n.tag} {' '.join(n.classes)}"
+        h, s = xxhash.xxh64(own), xxhash.xxh64(own)
+        last = 0
         for p in n.parts:
             if type(p) is Node:
                 h.update(p.key.to_bytes(8, "little"))
-            else:
-                h.update(" ".join(p.split()))
-        n.key = h.intdigest()
-
-
-def _dropped(n: Node, inside: bool) -> bool:
-    if n.tag in DROP or n.hidden or not inside and n.tag in DROP_OUTSIDE:
+                if p.shape != last:
+                    s.update(p.shape.to_bytes(8, "little"))
+                last = p.shape
+                n.size += p.size
+                n.linked += p.linked
+            elif t := " ".join(p.split()):
+                h.update(t)
+                n.size += len(t)
+        if n.tag == "a":
+            n.linked = n.size
+        n.key, n.shape = h.intdigest(), s.intdigest()
+
+
+def _dropped(n: Node, inside: bool, by_name: bool = True) -> bool:
+    if n.tag in DROP or n.hidden or n.role in ROLES or not inside and n.tag in DROP_OUTSIDE:
         return True
-    if not n.names or n.tag in ("html", "body", "article", "main") and not {"comment", "comments"} & set(n.names):
+    if not by_name or not (n.classes or n.ident) or n.tag in ("html", "body", "main"):
         return False
-    return any(x in NAMED or not inside and x in NAMED_OUTSIDE for x in n.names)
+    if n.tag == "article":
+        return any(c.lower() in ("comment", "comments") for c in n.classes)
+    whole = n.tag in CONTAINER
+    for c in (*n.classes, n.ident) if whole else n.classes:
+        hit, outside, single = _named(c)
+        if hit and (whole or single) or outside and whole and not inside:
+            return True
+    return False
+
 
+def _roots(root: Node) -> list[Node]:
+    """Where the main text is: the outermost articles, else main parts; empty when neither is marked.
 
-def _roots(root: Node, gone: frozenset) -> tuple[list[Node], bool]:
-    """Where the main text is: the outermost articles, else main parts, else the page; and whether it is marked."""
+    Articles below an element of a telling name count only where there are no others.
+    """
     for wanted in (lambda n: n.tag == "article", lambda n: n.main):
-        found, todo = [], [root]
-        while todo:
-            n = todo.pop()
-            if n is not root and (_dropped(n, False) or n.key in gone and n.tag in BLOCK and n.tag not in ("article", "main", "body", "html")):
-                continue
-            if wanted(n):
-                found.append(n)
-                continue
-            todo += [p for p in reversed(n.parts) if type(p) is Node]
-        if found:
-            return found, True
-    return [root], False
-
-
-def _mostly_links(n: Node) -> bool:
-    linked = total = 0
-    todo: list[tuple] = [(n, False)]
+        for by_name in (True, False):
+            found, todo = [], [root]
+            while todo:
+                n = todo.pop()
+                if n is not root and _dropped(n, False, by_name):
+                    continue
+                if wanted(n):
+                    found.append(n)
+                    continue
+                todo += [p for p in reversed(n.parts) if type(p) is Node]
+            if found:
+                return found
+    return []
+
+
+def outline(root: Node) -> tuple[list[str | None], list[tuple[int, int, int, bool]]]:
+    """The page's blocks in order, ``None`` for those that the rules drop, and its elements' spans.
+
+    A span is (hash, first block, end, whether it has to be on half of all bodies).
+    """
+    hash_subtrees(root)
+    roots = set(map(id, _roots(root)))
+    blocks: list[str | None] = []
+    spans: list[tuple[int, int, int, bool]] = []
+    now: list[str] = []
+    other = False  # text of a dropped part since the last block
+    entered = 0
+
+    def flush() -> None:
+        nonlocal other
+        if line := " ".join(unescape("".join(now)).split()):
+            blocks.append(line)
+        elif other:
+            blocks.append(None)
+        now.clear()
+        other = False
+
+    todo: list = [(root, not roots, True)]
     while todo:
-        x, inside = todo.pop()
-        if type(x) is Node:
-            todo += [(p, inside or x.tag == "a") for p in x.parts]
-        else:
-            size = len(x.strip())
-            total += size
-            linked += size * inside
-    return total > 0 and linked > 0.5 * total
-
-
-def text_blocks(root: Node, gone: frozenset = frozenset()) -> list[str]:
-    """The blocks of the main text in page order, with the subtrees in ``gone`` deleted."""
-    roots, marked = _roots(root, gone)
-    out: list[str] = []
-    for r in roots:
-        now: list[str] = []
-        todo: list = [r]
-        while todo:
-            x = todo.pop()
-            if x is None:
-                if line := " ".join(unescape("".join(now)).split()):
-                    out.append(line)
-                now = []
-            elif type(x) is str:
+        x, inside, keep = todo.pop()
+        if type(x) is str:
+            if inside and keep:
                 now.append(x)
-            elif x is not r and (_dropped(x, marked) or x.key in gone and x.tag in (CONTAINER if marked else BLOCK - {"html", "body"})):
-                if x.tag in BLOCK:
-                    todo.append(None)
-            elif x.tag == "br":
+            elif x.strip():
+                other = True
+        elif type(x) is tuple:  # the end of a block element
+            flush()
+            node, first, before = x
+            if len(blocks) > first and node.tag not in ("#", "html", "body", "article", "main") and id(node) not in roots:
+                spans.append((node.key, first, len(blocks), bool(roots) and inside and node.tag not in CONTAINER))
+                if roots and not inside and before == entered and 2 * node.linked > node.size:
+                    spans.append((node.shape, first, len(blocks), False))
+        elif x.tag == "br":
+            if inside and keep:
                 now.append(" ")
-            elif not marked and x.tag in CONTAINER and _mostly_links(x):
-                todo.append(None)
-            elif x.tag in BLOCK or x is r:
-                todo += [None, *reversed(x.parts), None]
-            else:
-                todo += reversed(x.parts)
-    return out
+        else:
+            if id(x) in roots:
+                inside, keep, entered = True, True, entered + 1
+            elif keep and x is not root:
+                keep = not _dropped(x, bool(roots)) if inside else False if roots else keep
+                if keep and not roots and x.tag in CONTAINER and 2 * x.linked > x.size > 0:
+                    keep = False
+            below = [(p, inside, keep or bool(roots) and not inside) for p in reversed(x.parts)]
+            if x.tag in BLOCK or id(x) in roots or x is root:
+                flush()
+                todo.append(((x, len(blocks), entered), inside, keep))
+            todo += below
+    flush()
+    return blocks, spans
+
+
+def text_blocks(root: Node) -> list[str]:
+    """The blocks of the main text in page order, by the rules alone."""
+    return [b for b in outline(root)[0] if b is not None]
 
 
 def _host():
@@ -223,56 +327,48 @@ def _host():
     return F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def templates(pages: DataFrame, min_pages: int = 5, share: float = 0.3) -> tuple[DataFrame, DataFrame]:
-    """((page_id, row, host, h): the subtrees of each page; (host, h, n): those that recur on the host)."""
+def _outlines(pages: DataFrame) -> DataFrame:
+    """(page_id, url, row, host, blocks, spans, body) of each page; row and body are hashes."""
 
     def run(batches):
         for big in batches:
             for b in sliced(big):
-                rows, of, bodies = [], [], []
-                for i, html in enumerate(b.column(3).to_pylist()):
-                    root = parse(html)
-                    hash_subtrees(root)
-                    body = xxhash.xxh64_intdigest("\n".join(text_blocks(root))) >> 1
-                    keys = {n.key for n in _walk(root) if n.tag in BLOCK and n.tag not in ("html", "body", "article", "main", "p")}
-                    keys = sorted(k - (1 << 64) if k >> 63 else k for k in keys)
-                    rows += keys
-                    of += [i] * len(keys)
-                    bodies += [body] * len(keys)
-                at = pa.array(of, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(rows, pa.int64()), pa.array(bodies, pa.int64())], ["page_id", "row", "host", "h", "body"])
-
-    p = pages.select("page_id", F.xxhash64("html").alias("row"), _host().alias("host"), "html")
-    kind = p.schema["page_id"].dataType.simpleString()
-    found = materialise(p.mapInArrow(run, f"page_id {kind}, row long, host string, h long, body long"), "subtrees")
-    bodies = found.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("bodies"))
-    often = found.select("host", "h", "body").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    often = often.join(bodies, "host").where(F.col("n") >= share * F.col("bodies")).select("host", "h", "n")
-    # a lookup meets a row a page, copies included
-    met = materialise(often, "templates")
-    return found.select("page_id", "row", "host", "h"), met
-
-
-def extract(pages: DataFrame, min_pages: int = 5, share: float = 0.3) -> DataFrame:
-    """(page_id, url, text, n_chars) of each page's whole html."""
-    found, often = templates(pages, min_pages, share)
-    rows = found.join(often.select("host", "h").hint("merge"), ["host", "h"], "left_semi").groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
-    weighed = materialise(rows, "template-rows")
-    hits = skew_safe_semi(found, weighed, ["host", "h"], "n", weighed.agg(F.sum("n")).first()[0] or 0)
-    gone = hits.groupBy("page_id", "row").agg(F.collect_set("h").alias("gone")).select(F.col("page_id").alias("_id"), F.col("row").alias("_row"), "gone")
-    p = pages.select("page_id", "url", "html", F.xxhash64("html").alias("row"))
-    p = p.join(gone, p["page_id"].eqNullSafe(gone["_id"]) & (p["row"] == gone["_row"]), "left").select("page_id", "url", "html", "gone")
-
-    def run(batches):
-        for big in batches:
-            for b in sliced(big):
-                texts = []
-                for html, drop in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    root = parse(html)
-                    if drop:
-                        hash_subtrees(root)
-                    texts.append("\n".join(text_blocks(root, frozenset(k & (1 << 64) - 1 for k in drop or ()))))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
+                blocks, spans, bodies = [], [], []
+                for html in b.column(4).to_pylist():
+                    own, cover = outline(parse(html))
+                    blocks.append(own)
+                    spans.append([{"h": h - (1 << 64) if h >> 63 else h, "a": a, "b": z, "fine": f} for h, a, z, f in cover])
+                    bodies.append(xxhash.xxh64_intdigest("\n".join(x for x in own if x is not None)) >> 1)
+                kind = pa.list_(pa.struct([("h", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("fine", pa.bool_())]))
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(i) for i in range(4)), pa.array(blocks, pa.list_(pa.string())), pa.array(spans, kind), pa.array(bodies, pa.int64())],
+                    ["page_id", "url", "row", "host", "blocks", "spans", "body"],
+                )
+
+    p = pages.select("page_id", "url", F.xxhash64("html").alias("row"), _host().alias("host"), "html")
     kind = p.schema["page_id"].dataType.simpleString()
-    return p.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return p.mapInArrow(run, f"page_id {kind}, url string, row long, host string, blocks array<string>, spans array<struct<h:long,a:int,b:int,fine:boolean>>, body long")
+
+
+def templates(outlines: DataFrame, min_pages: int = 5, share: float = 0.5) -> DataFrame:
+    """(host, h, n, met): subtrees on n bodies of the host, met by ``met`` spans of all its pages."""
+    s = outlines.select("host", "body", F.explode("spans").alias("s")).select("host", "body", "s.h", "s.fine")
+    each = s.groupBy("host", "h", "body").agg(F.max("fine").alias("fine"), F.count(F.lit(1)).alias("met"))
+    often = each.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"), F.max("fine").alias("fine"), F.sum("met").alias("met")).where(F.col("n") >= min_pages)
+    bodies = outlines.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("bodies"))
+    return often.join(bodies, "host").where(~F.col("fine") | (F.col("n") >= share * F.col("bodies"))).select("host", "h", "n", "met")
+
+
+def extract(pages: DataFrame, min_pages: int = 5, share: float = 0.5) -> DataFrame:
+    """(page_id, url, text, n_chars, n_template) of each page's whole html; the last counts blocks that templates cover."""
+    found = materialise(_outlines(pages), "outlines")
+    often = materialise(templates(found, min_pages, share), "templates")
+    spans = found.select("page_id", "row", "host", F.explode("spans").alias("s")).select("page_id", "row", "host", "s.h", "s.a", "s.b")
+    hits = skew_safe_semi(spans, often, ["host", "h"], "met", often.agg(F.sum("met")).first()[0] or 0)
+    gone = hits.groupBy("page_id", "row").agg(F.collect_set(F.struct("a", "b")).alias("gone")).select(F.col("page_id").alias("_id"), F.col("row").alias("_row"), "gone")
+    p = found.select("page_id", "url", "row", "blocks").join(gone, found["page_id"].eqNullSafe(F.col("_id")) & (found["row"] == F.col("_row")), "left")
+    covered = lambda i: F.exists(F.col("gone"), lambda g: (i >= g["a"]) & (i < g["b"]))
+    kept = F.when(F.col("gone").isNull(), F.filter("blocks", lambda x: x.isNotNull())).otherwise(F.filter("blocks", lambda x, i: x.isNotNull() & ~covered(i)))
+    n = F.when(F.col("gone").isNull(), 0).otherwise(F.size(F.filter("blocks", lambda x, i: covered(i))))
+    out = p.select("page_id", "url", F.array_join(kept, "\n").alias("text"), n.cast("long").alias("n_template"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
