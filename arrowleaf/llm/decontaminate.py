@@ -3,12 +3,16 @@
 Words become templates: numbers, units after numbers and names (capitalised inside a sentence) turn
 into typed placeholders, other words are stripped of punctuation and lower-cased.  Numbers are split from
 letters and equals signs beside them.  A capitalised word that opens a sentence may be a name or not:
-windows that hold one are taken in both forms.  Windows of five template words are hashed; windows of documents that a small Bloom filter of the benchmark lets pass
-are hash-joined with those of the items.  A match must be slot-consistent: along one alignment each
-value of the item stands for one value of the document, so re-parameterised questions are caught and
-chance matches of placeholders are not; windows with openers as names are held to that among all
-windows, and without them the others stand as they are.  A document holds an item when its matched windows cover at
-least ``share`` of the item's words.
+windows that hold one are taken in both forms.  Windows of five template words are hashed; windows of
+documents that a Bloom filter of the benchmark lets pass are hash-joined with those of the items.
+Windows that are mostly placeholders are alike everywhere, so they stay out of that join: they are looked
+up only where a plain window of the same item has already placed the item in the document.
+
+A match must be slot-consistent: in one occurrence of the item, however words were put in or left out,
+each value of the item stands for one value of the document, else the windows that hold it do not count;
+so re-parameterised questions are caught and chance matches of placeholders are not.  A value that only
+openers taken as names contradict costs those windows alone.  A document holds an item when the matched
+windows of one occurrence cover at least ``share`` of the item's words.
 
 Defined cases: null and empty texts hold nothing; items of fewer than five words match only a text
 that is no longer; items without words match nothing; repeated rows and equal items give each
@@ -20,6 +24,7 @@ other columns are ignored by ``leaks`` and kept by ``clean``.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sliced
+from .common import columns, materialise, sliced, unused
 
 WIDTH = 5
+#: Benchmark windows, and contaminated rows, that are broadcast at most; more go through a shuffle.
+BROADCAST_WINDOWS, BROADCAST_ROWS, SALT = 200_000, 1_000_000, 32
 #: Unit words that a number may carry.
 UNITS = frozenset(
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons tonne tonnes ounce ounces oz pound pounds lb lbs ml l litre litres liter liters "
@@ -131,7 +138,7 @@ def _windows_of(df: DataFrame, id_col: str, widths: list[int] | None, bloom) ->
                             continue
                         for opened, form, taken in forms:
                             w = windows(form, width)
-                            keep = np.ones(len(w), bool) if bloom is None else bloom.value[(w & np.uint64(len(bloom.value) - 1)).astype(np.int64)]
+                            keep = np.ones(len(w), bool) if bloom is None else _passes(bloom.value, w)
                             if opened:
                                 keep = keep & (np.convolve(first, np.ones(width, int), "valid") > 0)
                             marked = np.convolve(taken, np.ones(width, int), "valid") if taken.any() else np.zeros(len(w), int)
@@ -147,50 +154,113 @@ def _windows_of(df: DataFrame, id_col: str, widths: list[int] | None, bloom) ->
     return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, row long, w long, at int, width int, n_words int, plain boolean, opened boolean, slots array<string>")
 
 
-def _bloom(items: DataFrame, bits: int) -> tuple[np.ndarray, list[int]]:
-    """A table of ``2**bits`` flags of the items' windows, merged from one row a set cell, and the widths."""
+def _bloom(items: DataFrame, bits: int | None) -> tuple[np.ndarray, list[int]]:
+    """A table of ``2**bits`` one-bit cells of the items' windows, packed, and the windows' widths.
+
+    Without ``bits`` there are some 128 cells a window, 32 MB at the most; a fuller table only lets more pass.
+    """
+    if bits is None:
+        bits = min(28, max(16, int(items.count()).bit_length() + 7))
     cell = items.select(F.expr(f"w & {(1 << bits) - 1}").alias("c"), "width").distinct()
     flags = np.zeros(1 << bits, bool)
-    got = cell.toArrow()
+    got = cell.toArrow()  # a row a set cell
     flags[got.column("c").to_numpy()] = True
-    return flags, sorted(set(got.column("width").to_pylist()))
+    return np.packbits(flags, bitorder="little"), sorted(set(got.column("width").to_pylist()))
+
+
+def _passes(cells: np.ndarray, w: np.ndarray) -> np.ndarray:
+    at = w & np.uint64(8 * len(cells) - 1)
+    return (cells[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+
+
+def occurrences(rows: list[dict], n_words: int) -> list[list[dict]]:
+    """The matched windows of one text and item, parted into occurrences of the item.
+
+    Alignments (document position less item position) that lie close together are one occurrence; in it
+    each item position takes the alignment that most windows share.
+    """
+    votes = Counter(r["at"] - r["item_at"] for r in rows)
+    group, last, groups = {}, None, 0
+    for along in sorted(votes):
+        if last is not None and along - last > max(n_words // 2, WIDTH):
+            groups += 1
+        group[along], last = groups, along
+    best: dict[tuple[int, int], int] = {}
+    for r in rows:
+        along = r["at"] - r["item_at"]
+        key = (group[along], r["item_at"])
+        if key not in best or (votes[along], -along) > (votes[best[key]], -best[key]):
+            best[key] = along
+    out: dict[int, list[dict]] = {}
+    for r in rows:
+        along = r["at"] - r["item_at"]
+        if best[group[along], r["item_at"]] == along:
+            out.setdefault(group[along], []).append(r)
+    return list(out.values())
 
 
-def _held(docs: DataFrame, benchmark: DataFrame, share: float, bits: int) -> DataFrame:
+def judge(rows: list[dict], n_words: int) -> tuple[float, bool, int]:
+    """(coverage, whether all values are the item's own, windows) of one occurrence's matched windows."""
+
+    def torn(some) -> set[str]:
+        stands: dict[str, set[str]] = {}
+        for r in some:
+            for v, d in zip(r["item_slots"], r["slots"], strict=True):
+                stands.setdefault(v, set()).add(d)
+        return {v for v, d in stands.items() if len(d) > 1}
+
+    bad, bad_opened = torn(r for r in rows if not r["opened"]), torn(rows)
+    kept = [r for r in rows if not (bad_opened if r["opened"] else bad).intersection(r["item_slots"])]
+    if not any(r["plain"] for r in kept):
+        return 0.0, False, 0
+    own: dict[int, bool] = {}
+    for r in kept:
+        own[r["item_at"]] = own.get(r["item_at"], False) or r["slots"] == r["item_slots"]
+    covered = {i for r in kept for i in range(r["item_at"], r["item_at"] + r["width"])}
+    return len(covered) / n_words, all(own.values()), len(own)
+
+
+def _held(docs: DataFrame, benchmark: DataFrame, share: float, bits: int | None) -> DataFrame:
     """(doc_id, row, item_id, coverage, n_windows, kind): which items each text holds; row is its hash."""
     spark = docs.sparkSession
-    items = _windows_of(benchmark, "item_id", None, None)
-    flags, widths = _bloom(items, bits)
-    found = _windows_of(docs, "doc_id", widths or [WIDTH], spark.sparkContext.broadcast(flags))  # 2**bits bytes
-    i = items.select("w", "width", F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("at").alias("item_at"), "n_words", F.col("opened").alias("item_opened"), F.col("slots").alias("item_slots"))
-    m = found.select("w", "width", F.col("id").alias("doc_id"), "row", "at", "plain", "opened", "slots").join(i, ["w", "width"])
-    opened = F.col("opened") | F.col("item_opened")
-    m = materialise(m.withColumn("along", F.col("at") - F.col("item_at")).withColumn("opened", opened).drop("item_opened"), "matches")  # read twice below
-    pair = ["doc_id", "row", "item_id", "item_row", "along"]
-    # along one alignment, a value of the item that stands for two values of the document is a chance match;
-    # without the windows of opened sentences this drops all, with them only these
-    slots = m.where(F.size("slots") > 0).select(*pair, "opened", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-    literal = F.when(~F.col("opened"), F.col("s.slots"))
-    wrong = slots.groupBy(*pair, F.col("s.item_slots").alias("v")).agg(
-        F.min("s.slots").alias("lo"), F.max("s.slots").alias("hi"), F.min(literal).alias("lo0"), F.max(literal).alias("hi0")
-    )
-    wrong = wrong.where("lo <> hi").groupBy(*[F.col(c).alias(f"_{c}") for c in pair]).agg(F.max(F.coalesce(F.col("lo0") != F.col("hi0"), F.lit(False))).alias("_all"))
-    same = [m[c].eqNullSafe(wrong[f"_{c}"]) for c in pair]
-    m = m.join(wrong, [*same, m["opened"] | wrong["_all"]], "left_anti")
-    spot = m.groupBy("doc_id", "row", "item_id", "item_row", "item_at").agg(
-        F.max("width").alias("width"), F.max("n_words").alias("n_words"), F.max(F.col("plain").cast("int")).alias("plain"), F.max((F.to_json("slots") == F.to_json("item_slots")).cast("int")).alias("same")
-    )
-    per = spot.groupBy("doc_id", "row", "item_id", "item_row").agg(
-        F.count(F.lit(1)).alias("n_windows"), F.max("n_words").alias("n_words"), F.max("width").alias("width"), F.max("plain").alias("plain"), F.min("same").alias("same"),
-        F.array_sort(F.collect_list("item_at")).alias("starts"),
-    )
-    covered = F.aggregate("starts", F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end")), lambda a, x: F.struct((a["sum"] + F.col("width") - F.greatest(F.lit(0), a["end"] - x)).alias("sum"), (x + F.col("width")).alias("end")))["sum"]
-    per = per.withColumn("coverage", covered / F.col("n_words"))
-    kind = F.when(F.col("same") == 1, "exact").otherwise("reparameterised")
-    return per.where((F.col("coverage") >= share) & (F.col("plain") == 1)).select("doc_id", "row", "item_id", "coverage", "n_windows", kind.alias("kind"))
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, bits: int = 21) -> DataFrame:
+    items = materialise(_windows_of(benchmark, "item_id", None, None), "item-windows")
+    cells, widths = _bloom(items, bits)
+    found = materialise(_windows_of(docs, "doc_id", widths or [WIDTH], spark.sparkContext.broadcast(cells)), "windows")  # read twice below
+    doc = found.select("w", "width", F.struct(F.col("id").alias("doc_id"), "row").alias("text"), "at", "plain", "opened", "slots")
+    item = items.select("w", "width", F.struct(F.col("id").alias("item_id"), F.col("row").alias("item_row")).alias("item"), F.col("at").alias("item_at"), "plain", "n_words", F.col("opened").alias("item_opened"), F.col("slots").alias("item_slots"))
+    side = item.where("plain").drop("plain")
+    if items.count() <= BROADCAST_WINDOWS:
+        met = doc.where("plain").join(F.broadcast(side), ["w", "width"])
+    else:  # a window that a third of all texts holds is spread over SALT tasks
+        salted = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        met = doc.where("plain").withColumn("salt", F.pmod(F.xxhash64("text", "at"), F.lit(SALT)).cast("int")).join(salted, ["w", "width", "salt"]).drop("salt")
+    met = materialise(met.withColumn("opened", F.col("opened") | F.col("item_opened")).drop("item_opened", "w"), "matches")
+    # where an item has been placed, its windows of placeholders are looked up at just that place
+    places = met.select("text", "item", (F.col("at") - F.col("item_at")).alias("along")).distinct()
+    slotted = item.where("NOT plain").drop("plain")
+    slotted = F.broadcast(slotted) if items.count() <= BROADCAST_WINDOWS else slotted
+    wanted = places.join(slotted, "item").withColumn("at", F.col("along") + F.col("item_at")).drop("along")
+    beside = wanted.join(doc.where("NOT plain"), ["text", "at", "w", "width"])
+    beside = beside.withColumn("opened", F.col("opened") | F.col("item_opened")).select(*met.columns)
+    each = met.unionByName(beside).groupBy("text", "item").agg(
+        F.max("n_words").alias("n_words"), F.collect_set(F.struct("at", "item_at", "width", "plain", "opened", "slots", "item_slots")).alias("rows")
+    )  # a set is bounded by one text and one item, however often the row is repeated
+
+    def verdicts(batches):
+        for b in batches:
+            out = []
+            for n, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                out.append(max(judge(o, n) for o in occurrences(rows, n)))
+            cols = [pa.array([x[i] for x in out], k) for i, k in enumerate((pa.float64(), pa.bool_(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), b.column(4), *cols], ["doc_id", "row", "item_id", "coverage", "own", "n_windows"])
+
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((docs, "doc_id"), (benchmark, "item_id"))]
+    judged = each.select("n_words", "rows", "text.doc_id", "text.row", "item.item_id").mapInArrow(verdicts, f"doc_id {kinds[0]}, row long, item_id {kinds[1]}, coverage double, own boolean, n_windows long")
+    kind = F.when(F.col("own"), "exact").otherwise("reparameterised")
+    return judged.where(F.col("coverage") >= share).select("doc_id", "row", "item_id", "coverage", "n_windows", kind.alias("kind"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, bits: int | None = None) -> DataFrame:
     """(doc_id, item_id, coverage, n_windows, kind): which items each document holds.
 
     kind is 'exact' when all slot values are the item's own, else 'reparameterised'.
@@ -199,8 +269,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, bits: int =
     return _held(docs, benchmark, share, bits).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.coverage", "b.n_windows", "b.kind")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, bits: int = 21) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, bits: int | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item."""
-    bad = _held(docs, benchmark, share, bits).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
-    d = docs.withColumn("_hash", F.xxhash64("text"))
-    return d.join(bad, d["doc_id"].eqNullSafe(bad["_id"]) & (d["_hash"] == bad["_row"]), "left_anti").select(*docs.columns)
+    ident, row, own = unused(docs, "_id", "_row", "_hash")
+    bad = materialise(_held(docs, benchmark, share, bits).select(F.col("doc_id").alias(ident), F.col("row").alias(row)).distinct(), "contaminated")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
+    d = docs.withColumn(own, F.xxhash64("text"))
+    return d.join(bad, d["doc_id"].eqNullSafe(F.col(ident)) & (F.col(own) == F.col(row)), "left_anti").select(*columns(docs))
