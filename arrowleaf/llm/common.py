@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,17 +15,39 @@ from pyspark.sql import functions as F
 #: A broadcast lookup side has at most this many rows: no more keys can each hold 1/HEAVY of a total.
 HEAVY = 4096
 _own_dir: dict[str, str] = {}
+_made: list[str] = []
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path below the folder that the cluster shares (``spark.checkpoint.dir``).
 
-    Only where that setting is missing, as in tests, a local temporary folder stands in.
+    Where that setting is missing, a temporary folder stands in on a local master and goes with the
+    process; on a cluster no machine's own folder will do, so it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = _own_dir.setdefault("dir", tempfile.mkdtemp(prefix="arrowleaf-"))
-    return f"{base.rstrip('/')}/arrowleaf/{name}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if "dir" not in _own_dir:
+            _own_dir["dir"] = tempfile.mkdtemp(prefix="arrowleaf-")
+            atexit.register(shutil.rmtree, _own_dir["dir"], ignore_errors=True)
+        base = _own_dir["dir"]
+    _made.append(f"{base.rstrip('/')}/arrowleaf/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made() -> int:
+    """How many intermediate tables this process has named so far; a mark for ``discard``."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, since: int, *keep: str) -> None:
+    """Delete the intermediate tables named since the mark, once nothing reads them any more."""
+    for path in _made[since:]:
+        if path not in keep:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    _made[since:] = keep
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -35,6 +59,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where ``df`` has such columns, letter case aside."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def columns(df: DataFrame) -> list:
+    """All columns of ``df``, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Lower-case A-Z and split at ASCII white space; ``None`` gives no words."""
     return text.encode().lower().split() if text else []
@@ -94,7 +134,6 @@ def skew_safe_semi(rows: DataFrame, keys: DataFrame, on: list[str], weight: str,
 
 
 
-
 def strings(column) -> list[str | None]:
     """An Arrow column as Python strings."""
     return column.to_pylist()

@@ -6,8 +6,9 @@ and counted by distinct documents; lines of frequent keys go, wherever they stan
 frequent keys come back to the lines by a lookup that broadcasts only keys that are provably few.
 
 Defined cases: null and empty texts are one empty line; an empty key is never counted or dropped;
-documents of the same id count once; repeated rows give repeated results; no rows give no rows; other
-columns are carried by ``drop_lines`` and ignored by ``line_report``.
+documents of the same id count once (all rows without an id are one document); repeated rows give
+repeated results; no rows give no rows; other columns, whatever their names, are carried by
+``drop_lines`` and ignored by ``line_report``.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, skew_safe_semi
+from .common import columns, materialise, skew_safe_semi, unused
 
 _BLANK = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,25 +45,26 @@ def _dropped(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
     return hits.groupBy("doc_id", "row_hash").agg(F.collect_set("h").alias("gone"))
 
 
-def _kept(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
-    """``docs`` with the line arrays of before and after."""
-    gone = _dropped(docs, min_docs, min_chars).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_row"), "gone")
-    d = docs.withColumn("_h", F.xxhash64("text"))
-    d = d.join(gone.withColumnRenamed("gone", "_gone"), d["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_row")), "left").drop("_id", "_row", "_h")
+def _kept(docs: DataFrame, min_docs: int, min_chars: int) -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns, and their names: the digests dropped (or null) and the lines kept."""
+    ident, row, own, gone, keep = unused(docs, "_id", "_row", "_h", "_gone", "_keep")
+    found = _dropped(docs, min_docs, min_chars).select(F.col("doc_id").alias(ident), F.col("row_hash").alias(row), F.col("gone").alias(gone))
+    d = docs.withColumn(own, F.xxhash64("text"))
+    d = d.join(found, d["doc_id"].eqNullSafe(F.col(ident)) & (F.col(own) == F.col(row)), "left").drop(ident, row, own)
     lines = _lines(F.col("text"))
-    keep = F.filter(lines, lambda x: ~F.array_contains(F.col("_gone"), _digest(_key(x))))
-    return d.withColumn("_keep", F.when(F.col("_gone").isNull(), lines).otherwise(keep))
+    some = F.filter(lines, lambda x: ~F.array_contains(F.col(gone), _digest(_key(x))))
+    return d.withColumn(keep, F.when(F.col(gone).isNull(), lines).otherwise(some)), gone, keep
 
 
 def line_report(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """doc_id, n_lines, n_dropped and the digest of the text that stays."""
-    k = _kept(docs.select("doc_id", "text"), min_docs, min_chars)
+    k, _, keep = _kept(docs.select("doc_id", "text"), min_docs, min_chars)
     n = F.size(_lines(F.col("text"))).cast("long")
-    return k.select("doc_id", n.alias("n_lines"), (n - F.size("_keep")).alias("n_dropped"), F.sha2(F.array_join("_keep", "\n").cast("binary"), 256).alias("kept_sha256"))
+    return k.select("doc_id", n.alias("n_lines"), (n - F.size(keep)).alias("n_dropped"), F.sha2(F.array_join(keep, "\n").cast("binary"), 256).alias("kept_sha256"))
 
 
 def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """``docs`` with every column, and with text free of frequent lines; untouched texts stay as they are."""
-    k = _kept(docs, min_docs, min_chars)
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_keep", "\n"))
-    return k.withColumn("text", text).select(*docs.columns)
+    k, gone, keep = _kept(docs, min_docs, min_chars)
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
+    return k.withColumn("text", text).select(*columns(docs))

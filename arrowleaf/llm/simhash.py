@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HEAVY, ascii_words, materialise, sliced
+from .common import HEAVY, ascii_words, columns, materialise, sliced, unused
 
 #: Relative costs of filing a row and of verifying a pair, as measured.
 ROW_COST, PAIR_COST = 1.0, 0.001
@@ -351,8 +351,9 @@ def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
 
 def first_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """One row of ``docs`` for each root of ``rows`` (doc_id, row_hash, root)."""
+    ident, row, own = unused(docs, "_id", "_row", "_hash")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")).alias("k"))
-    keep = first.select(F.col("k.doc_id").alias("_id"), F.col("k.row_hash").alias("_row")).distinct()
-    d = docs.withColumn("_hash", F.xxhash64("text"))
-    kept = d.join(keep, d["doc_id"].eqNullSafe(keep["_id"]) & (d["_hash"] == keep["_row"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    keep = first.select(F.col("k.doc_id").alias(ident), F.col("k.row_hash").alias(row)).distinct()
+    d = docs.withColumn(own, F.xxhash64("text"))
+    kept = d.join(keep, d["doc_id"].eqNullSafe(keep[ident]) & (d[own] == keep[row]), "left_semi")
+    return kept.dropDuplicates(["doc_id", own]).select(*columns(docs))
