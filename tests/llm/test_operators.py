@@ -4,14 +4,17 @@ import base64
 import collections
 import hashlib
 import json
+import os
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
+from pyarrow import orc
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -85,10 +88,45 @@ def test_token_files(spark, docs, none):
 def test_chunks_equal_the_library():
     spec = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
     tok, own = Tokenizer.from_str(spec), tokenfiles.Chunks(spec, limit=200)
+    assert own.direct
     signs = "ab'sSZ \n\t\x0b\x1c\x85\xa0é漢0².,!🙂̸=<>|ſΣÅİßÿÉ_-"
-    for _ in range(3000):
-        t = "".join(rnd.choice(signs) if rnd.random() < 0.95 else rnd.choice(["<|endoftext|>", "<|ENDOFTEXT|>"]) for _ in range(rnd.randint(0, 14)))
-        assert np.frombuffer(own.encode_many([t])[0], "<i4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    texts = ["".join(rnd.choice(signs) if rnd.random() < 0.95 else rnd.choice(["<|endoftext|>", "<|ENDOFTEXT|>"]) for _ in range(rnd.randint(0, 14))) for _ in range(3000)]
+    texts += [None, ""]
+    for other in (spec, json.dumps({**json.loads(spec), "pre_tokenizer": {"type": "Whitespace"}})):  # the second is encoded text by text
+        tok, own = Tokenizer.from_str(other), tokenfiles.Chunks(other, limit=200)
+        assert own.direct == (other is spec)
+        for at in range(0, len(texts), 7):
+            ids, ends = own.encode(pa.array(texts[at : at + 7], pa.string()))
+            for t, a, z in zip(texts[at : at + 7], ends, ends[1:], strict=False):
+                assert ids[a:z].tolist() == tok.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_token_files_are_pruned(spark):
+    """Stripes read in parallel parts, integer run lengths, and scans that skip row groups by range and Bloom filter."""
+    spec = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    path = work_path(spark, "pruned.orc")
+    d = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.lit("same words here").alias("text"))
+    tokenfiles.write(d, path, spec)
+
+    def scanned(where):
+        q = spark.read.orc(path).where(where).select("n_tokens")
+        rows = q.collect()
+        plan = q._jdf.queryExecution().executedPlan()
+        leaf = plan.collectLeaves().head()
+        return len(rows), leaf.metrics().get("numOutputRows").get().value(), plan.toString()
+
+    n, read, plan = scanned("doc_id = 20000")
+    assert n == 1 and 0 < read <= 2000 and "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,20000)]" in plan
+    assert scanned("doc_id = 20001")[:2] == (0, 0)  # inside the range of a row group: the Bloom filter tells
+    files = [f for f in os.listdir(path) if f.endswith(".orc")]
+    assert len(files) > 1
+    total = 0
+    for f in files:
+        whole = orc.ORCFile(os.path.join(path, f))
+        total += sum(whole.read_stripe(i, ["doc_id"]).num_rows for i in range(whole.nstripes))
+        ids = whole.read(["ids"]).column(0).combine_chunks().flatten()
+        assert os.path.getsize(os.path.join(path, f)) < ids.nbytes / 4  # equal runs take little room
+    assert total == 20_000
 
 
 def test_line_dedup(docs, none):
@@ -192,14 +230,14 @@ def test_slots_must_agree(spark):
 
 def test_pages(spark):
     page = lambda body: f"<html><head><title>t</title></head><body><nav><a href=x>menu</a></nav><div class='ad'>buy</div>{body}<footer>&copy; x</footer></body></html>"
-    rows = [(i, "http://h.example/%d" % i, page(f"<article><h1>T{i} &amp; u</h1><p>first  line<br>of {i}<p>second<div class=box>Follow us on the site</div><script>no()</script><section id=comments>hi</section></article>")) for i in range(12)]
+    rows = [(i, "http://h.example/%d" % i, page(f"<article><h1>T{i} &amp; u</h1><p>first  line<br>of {i}<p>second {i % 3}<p>Like us<div class=box>Follow us on the site</div><script>no()</script><section id=comments>hi</section></article>")) for i in range(12)]
     rows += [(50, "http://q.example/", page("<div><p>plain page &nbsp; text</p><ul><li><a href=y>only link</a></li></ul></div>")), (51, None, None), (52, "x", ""), (53, "http://h.example/z", "<p>a<p>b</b></p><!-- c --><p>d"), (54, "u", "text < 5 & <b>bold</b>")]
     rows += [rows[0], rows[0], (60, "http://k.example/a", page("<main>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</main>"))]
     d = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, h int")
     got = pages.extract(d).collect()
     text = {r.page_id: r.text for r in got}
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
-    assert text[3] == "T3 & u\nfirst line of 3\nsecond"  # the box recurs on the host
+    assert text[3] == "T3 & u\nfirst line of 3\nsecond 0"  # the box recurs on the host, and so does a paragraph on all of its pages
     assert text[50] == "plain page text" and text[51] == text[52] == "" and text[53] == "a\nb\nd" and text[54] == "text < 5 & bold" and text[60] == "deep"
     assert pages.extract(d.limit(0)).count() == 0
     # copies of one article are no template
