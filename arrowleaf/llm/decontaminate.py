@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,48 +59,75 @@ FLAGS = 63
 class Words(dict):
     """token -> hash of the plain word with six flag bits; at most ``limit`` are remembered."""
 
-    limit = 300_000
+    limit = 500_000
 
     def __missing__(self, token: str) -> int:
-        plain = _EDGES.sub("", token)
-        flags = STOP * (token[-1] in ".!?:" or token[-2:-1] in (".", "!", "?"))
+        mark = token[-1]
+        flags = STOP * (mark in ".!?:" or token[-2:-1] in (".", "!", "?"))
+        plain = token if mark.isalpha() else token[:-1]
+        if not plain.isalpha() or plain is not token and mark not in ".,;:!?":  # not a word with at most one mark after it
+            plain = _EDGES.sub("", token)
+        low = plain.lower()
         if not plain:
             flags |= EMPTY
-        elif _NUMBER.fullmatch(plain):
+        elif not plain.isalpha() and _NUMBER.fullmatch(plain):
             flags |= NUMBER
-        elif _MIXED.search(token):
+        elif not token.isalpha() and _MIXED.search(token):
             flags |= MIXED
         else:
-            flags |= UNIT * (plain.lower() in UNITS) | TITLE * (plain[0].isupper() and bool(_TITLE.fullmatch(plain)))
+            flags |= UNIT * (low in UNITS) | TITLE * (low != plain and plain[0].isupper() and bool(_TITLE.fullmatch(plain)))
         if len(self) >= self.limit:
             self.clear()
-        self[token] = code = xxhash.xxh64_intdigest(plain.lower()) & ~FLAGS | flags
+        self[token] = code = xxhash.xxh64_intdigest(low) & ~FLAGS | flags
         return code
 
 
-def canonical(text: str | None, words: Words) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Template codes, slot flags, tokens and possible names that open sentences, without tokens of punctuation alone."""
-    tokens = text.split() if text else []
+@dataclass
+class Templates:
+    """The words of several texts in a row, without tokens of punctuation alone."""
+
+    tokens: list[str]
+    of: np.ndarray  # each token's text
+    code: np.ndarray  # of the template word
+    slot: np.ndarray  # whether it is a placeholder
+    opener: np.ndarray  # whether it opens a sentence and may be a name
+    size: np.ndarray  # words of each text
+
+
+def canonical(texts: list[str | None], words: Words) -> Templates:
+    """The template words of the texts."""
+    cut = [t.split() if t else [] for t in texts]
+    tokens = [*chain.from_iterable(cut)]
+    of = np.repeat(np.arange(len(texts)), [len(c) for c in cut])
     code = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
     flags = (code & np.uint64(FLAGS)).astype(np.uint8)
-    if (flags & MIXED).any():
-        tokens = [x for t, f in zip(tokens, flags.tolist(), strict=True) for x in (_MIXED.split(t) if f & MIXED else (t,))]
+    if (mixed := flags & MIXED != 0).any():
+        times, parts, at = np.ones(len(tokens), np.int64), [], 0
+        for i in np.flatnonzero(mixed).tolist():
+            own = _MIXED.split(tokens[i])
+            times[i] = len(own)
+            parts += tokens[at:i]
+            parts += own
+            at = i + 1
+        tokens, of = parts + tokens[at:], np.repeat(of, times)
         code = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
         flags = (code & np.uint64(FLAGS)).astype(np.uint8)
-    some = flags & EMPTY == 0
     begin = np.ones(len(code), bool)  # of a sentence
-    begin[1:] = flags[:-1] & STOP != 0
+    begin[1:] = (flags[:-1] & STOP != 0) | (of[1:] != of[:-1])
+    some = flags & EMPTY == 0
     if not some.all():
         at = np.flatnonzero(some)
-        code, flags, begin, tokens = code[at], flags[at], begin[at], [tokens[i] for i in at]
+        code, flags, begin, of = code[at], flags[at], begin[at], of[at]
+        tokens = [tokens[i] for i in at.tolist()]
     number = flags & NUMBER != 0
     unit = np.zeros(len(code), bool)
-    unit[1:] = (flags[1:] & UNIT != 0) & number[:-1]
-    name = (flags & TITLE != 0) & ~begin
+    unit[1:] = (flags[1:] & UNIT != 0) & number[:-1] & (of[1:] == of[:-1])
+    title = flags & TITLE != 0
+    name = title & ~begin
     slot = number | unit | name
     out = code & ~np.uint64(FLAGS)
     out[number], out[unit], out[name] = _N, _U, _P
-    return out, slot, tokens, (flags & TITLE != 0) & begin & ~slot
+    return Templates(tokens, of, out, slot, title & begin & ~slot, np.bincount(of, minlength=len(texts)))
 
 
 def windows(code: np.ndarray, width: int) -> np.ndarray:
@@ -116,39 +145,49 @@ def _values(tokens: list[str], slot: np.ndarray, at: int, width: int) -> list[st
     return [_EDGES.sub("", tokens[i]).lower() for i in range(at, at + width) if slot[i]]
 
 
-def _windows_of(df: DataFrame, id_col: str, widths: list[int] | None, bloom) -> DataFrame:
+def _inside(flags: np.ndarray, width: int) -> np.ndarray:
+    """How many flags each window holds."""
+    ends = np.concatenate([[0], np.cumsum(flags)])
+    return ends[width:] - ends[:-width]
+
+
+def _windows_of(df: DataFrame, id_col: str, widths: list[int], bloom) -> DataFrame:
     """(id, row, w, at, width, n_words, plain, opened, slots): windows with positions and slot values.
 
-    ``opened`` windows take the capitalised words that open sentences as names.
+    Windows shorter than WIDTH are whole texts.  ``opened`` windows take the capitalised words that open
+    sentences as names.
     """
 
     def run(batches):
         words = Words()
         for big in batches:
-            for b in sliced(big):
-                rows = ([], [], [], [], [], [], [], [], [])
-                for key, row, text in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                    code, slot, tokens, first = canonical(text, words)
-                    forms = [(False, code, slot)]
-                    if first.any():
-                        forms.append((True, np.where(first, np.uint64(_P), code), slot | first))
-                    own = [min(WIDTH, len(code))] if widths is None else widths
-                    for width in own:
-                        if not width or len(code) < width or width < WIDTH and len(code) != width:
+            for b in sliced(big, 2_000_000):
+                t = canonical(b.column(2).to_pylist(), words)
+                first = np.cumsum(t.size) - t.size
+                found = []
+                for width in widths:
+                    n = len(t.code) - width + 1
+                    if n < 1:
+                        continue
+                    fits = t.of[:n] == t.of[width - 1 :]
+                    if width < WIDTH:
+                        fits &= t.size[t.of[:n]] == width
+                    for opened, code, slot in ((False, t.code, t.slot), (True, np.where(t.opener, np.uint64(_P), t.code), t.slot | t.opener)):
+                        if opened and not t.opener.any():
                             continue
-                        for opened, form, taken in forms:
-                            w = windows(form, width)
-                            keep = np.ones(len(w), bool) if bloom is None else _passes(bloom.value, w)
-                            if opened:
-                                keep = keep & (np.convolve(first, np.ones(width, int), "valid") > 0)
-                            marked = np.convolve(taken, np.ones(width, int), "valid") if taken.any() else np.zeros(len(w), int)
-                            for i in np.flatnonzero(keep).tolist():
-                                n = int(marked[i])
-                                row_of = (key, row, int(w[i].view(np.int64)), i, width, len(code), 2 * n <= width, opened, _values(tokens, taken, i, width) if n else [])
-                                for c, v in zip(rows, row_of, strict=True):
-                                    c.append(v)
-                kinds = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["id", "row", "w", "at", "width", "n_words", "plain", "opened", "slots"])
+                        w = windows(code, width)
+                        keep = fits if bloom is None else fits & _passes(bloom.value, w)
+                        at = np.flatnonzero(keep & (_inside(t.opener, width) > 0) if opened else keep)
+                        found.append((at, w[at].view(np.int64), np.full(len(at), width), _inside(slot, width)[at], np.full(len(at), opened), slot))
+                slots = [_values(t.tokens, slot, i, width) if k else [] for at, _, size, n, _, slot in found for i, width, k in zip(at.tolist(), size.tolist(), n.tolist(), strict=True)]
+                at, w, width, n, opened = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(5))
+                of = t.of[at]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.string())]
+                values = [w, at - first[of], width, t.size[of], 2 * n <= width, opened.astype(bool), slots]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), *(pa.array(v, k) for v, k in zip(values, kinds, strict=True))],
+                    ["id", "row", "w", "at", "width", "n_words", "plain", "opened", "slots"],
+                )
 
     d = df.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("row"), "text")
     return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, row long, w long, at int, width int, n_words int, plain boolean, opened boolean, slots array<string>")
@@ -223,7 +262,7 @@ def judge(rows: list[dict], n_words: int) -> tuple[float, bool, int]:
 def _held(docs: DataFrame, benchmark: DataFrame, share: float, bits: int | None) -> DataFrame:
     """(doc_id, row, item_id, coverage, n_windows, kind): which items each text holds; row is its hash."""
     spark = docs.sparkSession
-    items = materialise(_windows_of(benchmark, "item_id", None, None), "item-windows")
+    items = materialise(_windows_of(benchmark, "item_id", [*range(1, WIDTH + 1)], None), "item-windows")
     cells, widths = _bloom(items, bits)
     found = materialise(_windows_of(docs, "doc_id", widths or [WIDTH], spark.sparkContext.broadcast(cells)), "windows")  # read twice below
     doc = found.select("w", "width", F.struct(F.col("id").alias("doc_id"), "row").alias("text"), "at", "plain", "opened", "slots")
