@@ -328,7 +328,7 @@ def _host():
 
 
 def _outlines(pages: DataFrame) -> DataFrame:
-    """(page_id, url, row, host, blocks, spans, body) of each page; row and body are hashes."""
+    """(page_id, url, row, site, blocks, spans, body) of each page; row, site and body are hashes of html, host and text."""
 
     def run(batches):
         for big in batches:
@@ -342,33 +342,47 @@ def _outlines(pages: DataFrame) -> DataFrame:
                 kind = pa.list_(pa.struct([("h", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("fine", pa.bool_())]))
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(i) for i in range(4)), pa.array(blocks, pa.list_(pa.string())), pa.array(spans, kind), pa.array(bodies, pa.int64())],
-                    ["page_id", "url", "row", "host", "blocks", "spans", "body"],
+                    ["page_id", "url", "row", "site", "blocks", "spans", "body"],
                 )
 
-    p = pages.select("page_id", "url", F.xxhash64("html").alias("row"), _host().alias("host"), "html")
+    p = pages.select("page_id", "url", F.xxhash64("html").alias("row"), F.xxhash64(_host()).alias("site"), "html")
     kind = p.schema["page_id"].dataType.simpleString()
-    return p.mapInArrow(run, f"page_id {kind}, url string, row long, host string, blocks array<string>, spans array<struct<h:long,a:int,b:int,fine:boolean>>, body long")
+    return p.mapInArrow(run, f"page_id {kind}, url string, row long, site long, blocks array<string>, spans array<struct<h:long,a:int,b:int,fine:boolean>>, body long")
 
 
 def templates(outlines: DataFrame, min_pages: int = 5, share: float = 0.5) -> DataFrame:
-    """(host, h, n, met): subtrees on n bodies of the host, met by ``met`` spans of all its pages."""
-    s = outlines.select("host", "body", F.explode("spans").alias("s")).select("host", "body", "s.h", "s.fine")
-    each = s.groupBy("host", "h", "body").agg(F.max("fine").alias("fine"), F.count(F.lit(1)).alias("met"))
-    often = each.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"), F.max("fine").alias("fine"), F.sum("met").alias("met")).where(F.col("n") >= min_pages)
-    bodies = outlines.select("host", "body").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("bodies"))
-    return often.join(bodies, "host").where(~F.col("fine") | (F.col("n") >= share * F.col("bodies"))).select("host", "h", "n", "met")
+    """(site, h, n, met): subtrees on n bodies of the site (the host's hash), met by ``met`` spans of all its pages."""
+    s = outlines.select("site", "body", F.explode("spans").alias("s")).select("site", "body", "s.h", "s.fine")
+    each = s.groupBy("site", "h", "body").agg(F.max("fine").alias("fine"), F.count(F.lit(1)).alias("met"))
+    often = each.groupBy("site", "h").agg(F.count(F.lit(1)).alias("n"), F.max("fine").alias("fine"), F.sum("met").alias("met")).where(F.col("n") >= min_pages)
+    bodies = outlines.select("site", "body").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("bodies"))
+    return often.join(bodies, "site").where(~F.col("fine") | (F.col("n") >= share * F.col("bodies"))).select("site", "h", "n", "met")
 
 
-def extract(pages: DataFrame, min_pages: int = 5, share: float = 0.5) -> DataFrame:
+def _with_gone(found: DataFrame, often: DataFrame, broadcast: int) -> DataFrame:
+    """``found`` with ``gone``, the spans of each page that are template (null or empty: none).
+
+    At most ``broadcast`` templates go to every task; more are looked up through a shuffle.
+    """
+    if often.count() <= broadcast:
+        own = often.groupBy("site").agg(F.collect_list("h").alias("known"))
+        p = found.join(F.broadcast(own), "site", "left")
+        hit = F.array_intersect(F.transform("spans", lambda s: s["h"]), F.col("known"))
+        return p.withColumn("gone", F.when(F.col("known").isNotNull(), F.filter("spans", lambda s: F.array_contains(hit, s["h"]))))
+    spans = found.select("page_id", "row", "site", F.explode("spans").alias("s")).select("page_id", "row", "site", "s.h", "s")
+    hits = skew_safe_semi(spans, often, ["site", "h"], "met", often.agg(F.sum("met")).first()[0] or 0)
+    gone = hits.groupBy("page_id", "row").agg(F.collect_set("s").alias("gone")).select(F.col("page_id").alias("_id"), F.col("row").alias("_row"), "gone")
+    return found.join(gone, found["page_id"].eqNullSafe(F.col("_id")) & (found["row"] == F.col("_row")), "left")
+
+
+def extract(pages: DataFrame, min_pages: int = 5, share: float = 0.5, broadcast: int = 500_000) -> DataFrame:
     """(page_id, url, text, n_chars, n_template) of each page's whole html; the last counts blocks that templates cover."""
     found = materialise(_outlines(pages), "outlines")
     often = materialise(templates(found, min_pages, share), "templates")
-    spans = found.select("page_id", "row", "host", F.explode("spans").alias("s")).select("page_id", "row", "host", "s.h", "s.a", "s.b")
-    hits = skew_safe_semi(spans, often, ["host", "h"], "met", often.agg(F.sum("met")).first()[0] or 0)
-    gone = hits.groupBy("page_id", "row").agg(F.collect_set(F.struct("a", "b")).alias("gone")).select(F.col("page_id").alias("_id"), F.col("row").alias("_row"), "gone")
-    p = found.select("page_id", "url", "row", "blocks").join(gone, found["page_id"].eqNullSafe(F.col("_id")) & (found["row"] == F.col("_row")), "left")
+    p = _with_gone(found, often, broadcast)
     covered = lambda i: F.exists(F.col("gone"), lambda g: (i >= g["a"]) & (i < g["b"]))
-    kept = F.when(F.col("gone").isNull(), F.filter("blocks", lambda x: x.isNotNull())).otherwise(F.filter("blocks", lambda x, i: x.isNotNull() & ~covered(i)))
-    n = F.when(F.col("gone").isNull(), 0).otherwise(F.size(F.filter("blocks", lambda x, i: covered(i))))
+    none = F.coalesce(F.size("gone") < 1, F.lit(True))
+    kept = F.when(none, F.filter("blocks", lambda x: x.isNotNull())).otherwise(F.filter("blocks", lambda x, i: x.isNotNull() & ~covered(i)))
+    n = F.when(none, 0).otherwise(F.size(F.filter("blocks", lambda x, i: covered(i))))
     out = p.select("page_id", "url", F.array_join(kept, "\n").alias("text"), n.cast("long").alias("n_template"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
