@@ -100,3 +100,23 @@ def splits(spark: SparkSession, seed: str = "0", held_share: float = 0.05, val_s
 def leaks(df: DataFrame, key: str, split: str) -> DataFrame:
     """Keys found in more than one split."""
     return df.groupBy(key).agg(F.count_distinct(split).alias("n_splits")).where("n_splits > 1")
+
+
+def holdout_faults(splits: DataFrame, pairs=HELD_OUT, held: str = "test_compositional", train: str = "train") -> DataFrame:
+    """(check, what): held-out pairs outside their split, their operations that training lacks, and others inside it."""
+    outside = splits.where((F.col("split") != held) & held_out("tags", pairs)).select(F.lit("pair outside").alias("check"), F.col("semantic_hash").alias("what"))
+    inside = splits.where((F.col("split") == held) & ~held_out("tags", pairs)).select(F.lit("other inside").alias("check"), F.col("semantic_hash").alias("what"))
+    spark = splits.sparkSession
+    ops = spark.createDataFrame([(t,) for t in sorted({t for p in pairs for t in p})], "tag string")
+    seen = splits.where(F.col("split") == train).select(F.explode("tags").alias("tag")).distinct()
+    never = ops.join(seen, "tag", "left_anti").select(F.lit("not in training").alias("check"), F.col("tag").alias("what"))
+    return outside.unionByName(inside).unionByName(never)
+
+
+def decoded(df: DataFrame, json: str = "canonical_json") -> DataFrame:
+    """``df`` with the tags that a program's JSON holds; what is no program of one to three known operations gives null."""
+    ops = F.from_json(F.col(json), "ops array<array<string>>")["ops"]
+    tags = F.transform(ops, lambda o: F.array_join(o, ":"))
+    known = F.array(*map(F.lit, VOCABULARY))
+    fits = F.size(tags).between(1, 3) & F.forall(tags, lambda t: F.array_contains(known, t))
+    return df.withColumn("tags", F.when(F.coalesce(fits, F.lit(False)), tags))

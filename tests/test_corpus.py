@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from arrowleaf.operators import corpus, verify
+from arrowleaf.operators import corpus
 from arrowleaf.sources.tables import read_jsonl, write_jsonl
 from arrowleaf.streaming.programs import stream
 
@@ -35,13 +35,6 @@ def test_sample_flags_mask(spark):
     assert ids.select(corpus.right_padded("ids", F.lit(8), 0)).first()[0] == [5, 6, 10, 20, 21, 2, 0, 0]
 
 
-def test_verify():
-    good = "def solve(xs, k):\n    out = []\n    for x in xs:\n        if x > k:\n            out.append(x)\n    return out\n"
-    assert verify.problem(good) is None
-    for code, stage in (("def solve(xs, k:", "syntax"), ("import os", "safety"), ("def solve(xs, k):\n    return eval('1')", "safety"), ("def solve(xs, k):\n    return xs.__class__", "safety"), ("def solve(xs, k=1):\n    return xs", "signature"), ("def solve(xs, k):\n    return solve(xs, k)", "safety")):
-        assert verify.problem(code) == stage, code
-
-
 def test_jsonl_and_stream(spark, tmp_path):
     d = spark.createDataFrame([("train", 1), ("val", 2)], "split string, i int")
     write_jsonl(d, str(tmp_path / "j"), "split")
