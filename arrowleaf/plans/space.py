@@ -76,13 +76,20 @@ def quotas(df: DataFrame, label: str, pos: str, share: float) -> DataFrame:
 
 
 def slice_rows(df: DataFrame, label: str, pos: str, key: str, shares: list[tuple[str, float]], seed: str, rest: str) -> DataFrame:
-    """``df`` with ``split``: per label, each named share takes its quota in the order of a seeded hash."""
-    w = W.partitionBy(label).orderBy(F.sha2(F.concat(F.lit(seed), key), 256))
-    out = df.withColumn("_r", F.row_number().over(w))
+    """``df`` with ``split``: per label, each named share takes its quota in the order of a seeded hash.
+
+    Places come from counts a label and bucket of the hash and ranks inside these, so a label that holds
+    most rows is still spread over all tasks.
+    """
+    d = df.withColumn("_h", F.sha2(F.concat(F.lit(seed), key), 256)).withColumn("_b", F.substring("_h", 1, 3))
+    before = d.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))  # at most 4096 rows a label
+    before = before.select(F.col(label).alias("_l"), F.col("_b").alias("_c"), (F.sum("_n").over(W.partitionBy(label).orderBy("_b")) - F.col("_n")).alias("_before"))
+    d = d.join(before, d[label].eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_c")))
+    out = d.withColumn("_r", F.col("_before") + F.row_number().over(W.partitionBy(label, "_b").orderBy("_h")))
     used, split = F.lit(0), F.lit(rest)
     for i, (name, share) in enumerate(shares):
         q = quotas(df, label, pos, share).select(F.col(label).alias(f"_l{i}"), F.col("quota").alias(f"_q{i}"))
-        out = out.join(q, out[label] == q[f"_l{i}"])
+        out = out.join(q, out[label].eqNullSafe(q[f"_l{i}"]))
         split = F.when((F.col("_r") > used) & (F.col("_r") <= used + F.col(f"_q{i}")), name).otherwise(split)
         used = used + F.col(f"_q{i}")
     return out.withColumn("split", split).select(*df.columns, "split")
