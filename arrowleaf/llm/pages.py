@@ -25,6 +25,7 @@ import re
 from functools import lru_cache
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -39,7 +40,7 @@ _MARK = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_PIECE = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_PIECE = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEAD = frozenset("base basefont bgsound link meta title script style noscript template head".split())
 FOREIGN = frozenset(("svg", "math"))
@@ -359,30 +360,59 @@ def templates(outlines: DataFrame, min_pages: int = 5, share: float = 0.5) -> Da
     return often.join(bodies, "site").where(~F.col("fine") | (F.col("n") >= share * F.col("bodies"))).select("site", "h", "n", "met")
 
 
-def _with_gone(found: DataFrame, often: DataFrame, broadcast: int) -> DataFrame:
-    """``found`` with ``gone``, the spans of each page that are template (null or empty: none).
+def _key(site: np.ndarray, h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (site * np.int64(0x5851F42D4C957F2D)) ^ h
 
-    At most ``broadcast`` templates go to every task; more are looked up through a shuffle.
-    """
-    if often.count() <= broadcast:
-        own = often.groupBy("site").agg(F.collect_list("h").alias("known"))
-        p = found.join(F.broadcast(own), "site", "left")
-        hit = F.array_intersect(F.transform("spans", lambda s: s["h"]), F.col("known"))
-        return p.withColumn("gone", F.when(F.col("known").isNotNull(), F.filter("spans", lambda s: F.array_contains(hit, s["h"]))))
+
+def _cut_by_broadcast(found: DataFrame, often: DataFrame) -> DataFrame:
+    """(page_id, url, text, n_template): every task has the templates' keys, sorted, and looks its spans up."""
+    got = often.select("site", "h").toArrow()
+    known = found.sparkSession.sparkContext.broadcast(np.sort(_key(got.column("site").to_numpy(), got.column("h").to_numpy())))
+
+    def run(batches):
+        keys = known.value
+        for b in batches:
+            site, blocks, spans = b.column(2).to_numpy(), b.column(3), b.column(4)
+            each, first = spans.value_lengths().to_numpy(), blocks.offsets.to_numpy() - blocks.offsets[0].as_py()
+            flat, parts = blocks.flatten(), spans.flatten()
+            of = np.repeat(np.arange(b.num_rows), each)
+            own = _key(site[of], parts.field("h").to_numpy())
+            hit = np.zeros(len(own), bool)
+            if len(keys):
+                hit = keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own
+            edge = np.zeros(len(flat) + 1, np.int64)
+            np.add.at(edge, first[of[hit]] + parts.field("a").to_numpy()[hit], 1)
+            np.add.at(edge, first[of[hit]] + parts.field("b").to_numpy()[hit], -1)
+            covered = np.cumsum(edge[:-1]) > 0
+            keep = (np.asarray(flat.is_valid()) & ~covered).tolist()
+            texts, before = flat.to_pylist(), np.concatenate([[0], np.cumsum(covered)])
+            text = ["\n".join([texts[i] for i in range(x, y) if keep[i]]) for x, y in zip(first.tolist(), first[1:].tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(before[first[1:]] - before[first[:-1]], pa.int64())], ["page_id", "url", "text", "n_template"])
+
+    kind = found.schema["page_id"].dataType.simpleString()
+    return found.select("page_id", "url", "site", "blocks", "spans").mapInArrow(run, f"page_id {kind}, url string, text string, n_template long")
+
+
+def _cut_by_shuffle(found: DataFrame, often: DataFrame) -> DataFrame:
+    """The same through a lookup of the spans and a join by page."""
     spans = found.select("page_id", "row", "site", F.explode("spans").alias("s")).select("page_id", "row", "site", "s.h", "s")
     hits = skew_safe_semi(spans, often, ["site", "h"], "met", often.agg(F.sum("met")).first()[0] or 0)
     gone = hits.groupBy("page_id", "row").agg(F.collect_set("s").alias("gone")).select(F.col("page_id").alias("_id"), F.col("row").alias("_row"), "gone")
-    return found.join(gone, found["page_id"].eqNullSafe(F.col("_id")) & (found["row"] == F.col("_row")), "left")
+    p = found.join(gone, found["page_id"].eqNullSafe(F.col("_id")) & (found["row"] == F.col("_row")), "left")
+    covered = lambda i: F.exists(F.col("gone"), lambda g: (i >= g["a"]) & (i < g["b"]))
+    none = F.col("gone").isNull()
+    kept = F.when(none, F.filter("blocks", lambda x: x.isNotNull())).otherwise(F.filter("blocks", lambda x, i: x.isNotNull() & ~covered(i)))
+    n = F.when(none, 0).otherwise(F.size(F.filter("blocks", lambda x, i: covered(i))))
+    return p.select("page_id", "url", F.array_join(kept, "\n").alias("text"), n.cast("long").alias("n_template"))
 
 
 def extract(pages: DataFrame, min_pages: int = 5, share: float = 0.5, broadcast: int = 500_000) -> DataFrame:
-    """(page_id, url, text, n_chars, n_template) of each page's whole html; the last counts blocks that templates cover."""
+    """(page_id, url, text, n_chars, n_template) of each page's whole html; the last counts blocks that templates cover.
+
+    At most ``broadcast`` templates (16 bytes each) go to every task; more are looked up through a shuffle.
+    """
     found = materialise(_outlines(pages), "outlines")
     often = materialise(templates(found, min_pages, share), "templates")
-    p = _with_gone(found, often, broadcast)
-    covered = lambda i: F.exists(F.col("gone"), lambda g: (i >= g["a"]) & (i < g["b"]))
-    none = F.coalesce(F.size("gone") < 1, F.lit(True))
-    kept = F.when(none, F.filter("blocks", lambda x: x.isNotNull())).otherwise(F.filter("blocks", lambda x, i: x.isNotNull() & ~covered(i)))
-    n = F.when(none, 0).otherwise(F.size(F.filter("blocks", lambda x, i: covered(i))))
-    out = p.select("page_id", "url", F.array_join(kept, "\n").alias("text"), n.cast("long").alias("n_template"))
+    out = (_cut_by_broadcast if often.count() <= broadcast else _cut_by_shuffle)(found, often)
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")

@@ -18,7 +18,7 @@ from pyarrow import orc
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from arrowleaf.llm import bpe, decontaminate, katz, linededup, pages, quality, queries, simhash, tokenfiles, topk, toxicity
+from arrowleaf.llm import bpe, decontaminate, katz, linededup, neardup, pages, quality, queries, simhash, tokenfiles, topk, toxicity
 from arrowleaf.llm.common import skew_safe_semi, work_path
 
 rnd = random.Random(11)
@@ -206,6 +206,27 @@ def test_simhash_dense_group(spark):
     assert (cost, way) == (6.0, [-1, 0, 1]) and sum(t + 1 for t in way) == 3
 
 
+def test_column_names_and_empty_tables(spark, docs, none):
+    """Stages keep columns of any name, and give no rows for none."""
+    names = ["_h", "_gone", "_id", "_row", "_keep", "_hash", "_ID2", "a.b"]
+    d = docs.select("doc_id", "text", *[F.lit(f"v{n}").alias(n) for n in names])
+    bench = spark.createDataFrame([(1, TEXTS[5])], "item_id long, text string")
+    for out in (linededup.drop_lines(d), simhash.one_of_each(d), neardup.one_of_each(d), decontaminate.clean(d, bench)):
+        rows = out.collect()
+        assert out.columns == d.columns and rows and all(r[f"{n}"] == f"v{n}" for r in rows for n in names)
+    for out in (linededup.drop_lines(none), simhash.one_of_each(none), neardup.one_of_each(none), decontaminate.clean(none, bench)):
+        assert out.count() == 0 and out.columns == none.columns
+
+
+def test_insertions_and_number_runs(spark):
+    item = "the train goes 5 km along the river in the valley and then it waits for about 5 hours"
+    bench = spark.createDataFrame([(1, item)] + [(i, "now count " + " ".join(map(str, range(40)))) for i in range(2, 12)], "item_id long, text string")
+    torn = item.replace("5 km", "7 km").replace("5 hours", "8 hours")
+    rows = [(1, torn), (2, torn.replace("along", "very along")), (3, item.replace("5", "9")), (4, item.replace("5", "9").replace("along", "very along")), (5, " ".join(["12 34 56 78"] * 120))]
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(3, 1), (4, 1)}
+
+
 def test_decontamination(spark, docs, none):
     item = "A train leaves Paris at 9 and travels 120 km in 2 hours before it stops, how fast does it go on average"
     items = [(1, item), (2, "entirely other words that nobody wrote down so far anywhere at all"), (3, None), (4, ""), (5, "two words"), (6, item)]
@@ -240,11 +261,37 @@ def test_pages(spark):
     assert text[3] == "T3 & u\nfirst line of 3\nsecond 0"  # the box recurs on the host, and so does a paragraph on all of its pages
     assert text[50] == "plain page text" and text[51] == text[52] == "" and text[53] == "a\nb\nd" and text[54] == "text < 5 & bold" and text[60] == "deep"
     assert pages.extract(d.limit(0)).count() == 0
+    # templates that are too many to broadcast give the same
+    same(pages.extract(d, broadcast=0).collect(), [tuple(r) for r in got], "page_id", "url", "text", "n_chars", "n_template")
     # copies of one article are no template
     copies = spark.createDataFrame([(i, "http://c.example/", page("<article><div><p>the same text</p></div></article>")) for i in range(9)], "page_id long, url string, html string")
     assert {r.text for r in pages.extract(copies).collect()} == {"the same text"}
 
 
+def test_page_markup():
+    def article(body):
+        return pages.text_blocks(pages.parse(f"<html><body><nav>n</nav><article>{body}</article></body></html>"))
+
+    assert article('<p>see <a href="/the-hidden-door">the door</a></p>') == ["see the door"]
+    assert article('<p title="a hidden gem">x</p><p data-hidden="false">y</p><p data-id="ad">z</p>') == ["x", "y", "z"]
+    assert article('<table class="share-price"><tr><td>1</td></tr></table><section class="related-work">w</section><h2 id="related">r</h2>') == ["1", "w", "r"]
+    assert article("a<svg/>b <svg><path/></svg>c <math><mi>q</mi></math>") == ["ab c q"]
+    assert article('<p>k</p><div class="share-buttons">s</div><p class="ad">ad</p><section id=comments>c</section><div class="newsletterBox">n</div>') == ["k"]
+    assert pages.text_blocks(pages.parse('<div class="social-page"><article><p>t</p></article></div>')) == ["t"]
+    assert pages.text_blocks(pages.parse("<html><head><title>t</title><meta charset=x><body><article>hello</article>")) == ["hello"]
+    assert pages.text_blocks(pages.parse("<head><title>t</title><p>hello")) == ["hello"]
+
+
+def test_templates_do_the_work(spark):
+    """Menus of other links on each page are one shape; an unmarked box on a fifth of a large host goes."""
+    html = [
+        f"<body><ul>{''.join(f'<li><a href=/{i}{j}>w{i} {j}</a>' for j in range(i % 3 + 2))}</ul><article><h1>T{i}</h1><p>text {i}</p>{'<div>Read our special pages</div>' * (i % 5 == 0)}</article>" for i in range(60)
+    ]
+    d = spark.createDataFrame([(i, "http://h.example/", x) for i, x in enumerate(html)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in pages.extract(d).collect()}
+    assert all(r.n_template == i % 3 + 2 + (i % 5 == 0) and r.text == f"T{i}\ntext {i}" for i, r in got.items())
+
+
 def test_topk(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 16)) * rng.uniform(0.1, 3, (300, 1))
