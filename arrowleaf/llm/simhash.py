@@ -295,10 +295,11 @@ def links(classes: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) with the smallest node of each component, by alternating large and small stars.
 
-    Every step is a grouped minimum and one explode; a node's neighbours are never collected.
+    Every step is a grouped minimum and one explode; a node's neighbours are never collected.  The steps end
+    when only stars are left: no root is below another and no node is below two.
     """
     e = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    sign, size = None, e.count()
+    size = e.count()
     for _ in range(60):
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
@@ -309,10 +310,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = _lookup(large, least, "u", "n", "m", large.count()).select(F.col("v").alias("x"), "m").union(least.select("u", "m")).where("x <> m").distinct()
         e = materialise(small.select(F.col("m").alias("a"), F.col("x").alias("b")), "stars")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == sign:
+        ends = e.select(F.col("b").alias("node"), F.lit(1).alias("below")).union(e.select("a", F.lit(0)))
+        seen = ends.groupBy("node").agg(F.sum("below").alias("roots"), F.min("below").alias("least"))
+        if not seen.where("roots > 1 or (roots = 1 and least = 0)").count():
             return e.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        sign, size = now, now[0]
+        size = e.count()
     raise RuntimeError("components did not settle")
 
 
