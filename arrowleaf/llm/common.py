@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -50,6 +52,14 @@ def discard(spark: SparkSession, since: int, *keep: str) -> None:
     _made[since:] = keep
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Free the shuffle files of finished steps: Spark deletes them once the driver has collected its garbage."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: this cuts lineage and survives lost executors."""
     spark = df.sparkSession

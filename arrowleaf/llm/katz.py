@@ -1,28 +1,28 @@
 """Katz backoff language model: Good-Turing discounts and exactly normalised backoff weights.
 
-The model is of order two, with recursion: pair -> word -> spelling of a rare word.
-
-* Words with training count >= 2 form the vocabulary, the most frequent ``max_words`` of them; all
-  other words share one rare class.  Every token is counted, the rare ones under that class.
-* P(w | h) = d(c) c(h,w) / c(h) for kept pairs, else a(h) P(w); a(h) makes the sum over the whole
-  vocabulary one.  P(w) is the relative frequency, with one count more for the rare class.  A rare
-  word is scored P(rare | h) Q(word), where Q is its Good-Turing discounted share of the rare class and
-  one unseen type takes the mass that the discounts leave.
+The model is of order two: pair -> word -> unseen word.
+
+* Every training word is in the vocabulary and keeps its own pairs, as history and as prediction.
+* P(w) is the word's Good-Turing discounted share of the training tokens and one more; words that were never
+  met are one class, which takes the mass that is left.
+* P(w | h) = d(c) c(h,w) / c(h) for pairs seen in training, else a(h) P(w); a(h) makes the sum over all words
+  one.  A history whose discounts leave nothing counts one token more, so that some is left.
 * d(r) is Katz's discount for r <= 5 from the counts of counts over all pairs (or words).
-* Every pair seen in training is in the model.  The table of pairs holds what a pair adds to the
-  backed-off value, log P(w|h) - log a(h) - log P(w), so a text's score is a sum of terms that are looked
-  up apart.  The most frequent ``max_pairs`` pairs are broadcast as well; they only save lookups.
+* The table of pairs holds what a pair adds to the backed-off value, log P(w|h) - log a(h) - log P(w), and the
+  table of words log P(w) + log a(w), so a text's score is a sum of terms that are looked up apart.
+
+The ``max_words`` most frequent words (hot) have an id of 16 bits and are broadcast, with the ``max_pairs`` most
+frequent pairs of hot words; both only save lookups.  The others (cold) go by their 64-bit hash.  Pairs are
+counted where what they lack is at hand: pairs with a cold word w meet by w, where c(w) is the sum of their
+counts; pairs with a cold history h then meet by h, where c(h) is.
 
-Counting packs each task's sorted distinct keys and counts into blobs, one a target partition, so a
-shuffle row is a block and a frequent word or pair is one entry a task.  The counts are tables
-partitioned by key in the shared folder.  Rare words and pairs outside the broadcast are asked for by a
-join with those tables, a row a text and key.  A key met by over one in ``max_pairs`` training tokens is
-broadcast, so none of those joined is frequent.
+Counts, tables and lookups travel as packed blocks, one a task or batch of texts and target partition, so a
+frequent word or pair is one entry a block; a block of lookups is answered by sums for each of its texts.
 
 Defined cases: null and empty texts are the end token alone; a null id is the empty text for the fold;
 rows of equal id and text give equal rows; no training tokens leave counts of zero (N = V = 0) and
-P(rare) = P(end) = 1/2; words
-are told apart by 64-bit XXH64; other columns are ignored.
+P(unseen) = P(end) = 1/2; words and pairs with a cold word are told apart by 64-bit hashes; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -32,16 +32,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashMemo, ascii_words, crc_fold, materialise, sliced
+from .common import HashMemo, ascii_words, crc_fold, discard, drop_shuffles, made, materialise, sliced
 
 RARE, END, BEGIN = 0, 1, 2
 #: Vocabulary ids are below this.
 IDS = 1 << 16
 #: What a row of the lookups is about.
 WORD, PAIR, TEXT = 0, 1, 2
+#: Pairs of hot words; pairs with a cold word, filed by it; pairs of a cold history and a hot word, filed by the history.
+HOT, BY_WORD, BY_HISTORY = 0, 1, 2
+#: Packed blocks by partition, kind, and batch of texts (-1: the table).
+BLOBS = "part int, kind int, batch long, a binary, b binary, c binary, d binary"
 K = 5
 #: The end token's key among words: no word is empty.
 END_KEY = xxhash.xxh64_intdigest(b"")
@@ -200,21 +205,23 @@ def _d(d: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What is broadcast: at most ``max_words`` words and the ``max_pairs`` most frequent pairs."""
+    """What is broadcast: the ``max_words`` most frequent words and the ``max_pairs`` most frequent of their pairs.
+
+    Id RARE stands for all other words, cold and unseen.
+    """
 
     tokens: int  # N
     types: int  # V
-    word: np.ndarray  # sorted keys of the vocabulary
+    word: np.ndarray  # sorted keys of the hot words
     ident: np.ndarray
     count: np.ndarray  # by id, over training tokens; that of BEGIN is the number of texts
     pair: np.ndarray  # sorted frequent pairs, h << 16 | w
     pair_gain: np.ndarray  # log10 P(w|h) - log10 a(h) - log10 P(w)
-    whole: bool  # these are all pairs
+    whole: bool  # these are all pairs of hot words
     single_log: np.ndarray  # log10 P(w) by id
     back_log: np.ndarray  # log10 a(h) by id
-    rare_d: np.ndarray  # discounts of rare words
-    rare_total: int
-    unseen_log: float
+    word_d: np.ndarray  # discounts of words
+    unseen_log: float  # log10 of the unseen class's share of RARE
 
     def gains(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What each pair adds as far as the broadcast goes, and whether it has to be asked for."""
@@ -227,19 +234,22 @@ class Model:
             known |= found
         return gain[back], ~known[back]
 
+    def single(self, c: np.ndarray) -> np.ndarray:
+        """P(w) of words by training count."""
+        return _d(self.word_d, c) * c / (self.tokens + 1)
+
     def rare_log(self, c: np.ndarray) -> np.ndarray:
-        """log10 Q of rare words by training count."""
-        seen = _d(self.rare_d, c) * c / max(self.rare_total, 1)
-        return np.where(c > 0, np.log10(np.maximum(seen, 1e-300)), self.unseen_log)
+        """log10 of a cold word's share of RARE by its training count."""
+        return np.log10(self.single(c)) - self.single_log[RARE]
 
     def base_log(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
 
 
 class IdMemo(dict):
-    """word -> vocabulary id, or the hash of a rare word.  At most ``limit`` words are remembered."""
+    """word -> id of a hot word, or the hash of another.  At most ``limit`` words are remembered."""
 
-    def __init__(self, model: Model, limit: int = 300_000):
+    def __init__(self, model: Model, limit: int = 150_000):
         super().__init__()
         self.known, self.limit = dict(zip(model.word.tolist(), model.ident.tolist(), strict=True)), limit
 
@@ -251,7 +261,7 @@ class IdMemo(dict):
         return i
 
     def array(self, words: list[bytes]) -> np.ndarray:
-        """A text's words and its end; values from IDS on are rare."""
+        """A text's words and its end; values from IDS on are hashes."""
         return np.fromiter([*map(self.__getitem__, words), END], np.uint64, len(words) + 1)
 
 
@@ -259,9 +269,18 @@ def _ids(got: np.ndarray) -> np.ndarray:
     return np.where(got >= IDS, RARE, got).astype(np.int64)
 
 
+def _pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of pairs, above the keys of pairs of hot words."""
+    with np.errstate(over="ignore"):
+        x = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + w * np.uint64(0xC2B2AE3D27D4EB4F)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return (x ^ (x >> np.uint64(31))) | np.uint64(1 << 63)
+
+
 def _distinct(of: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct (text, key) and how often each occurs."""
-    order = np.lexsort((key, of))
+    """The distinct (text, key) by key, and how often each occurs."""
+    order = np.lexsort((of, key))
     of, key = of[order], key[order]
     new = np.ones(len(key), bool)
     new[1:] = (of[1:] != of[:-1]) | (key[1:] != key[:-1])
@@ -269,6 +288,173 @@ def _distinct(of: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return of[at], key[at], np.diff(np.append(at, len(key)))
 
 
+def _parted(keys: np.ndarray, parts: int):
+    """(part, rows of that part in their order) of keys."""
+    part = _part(keys, parts)
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cut)).tolist():
+        yield p, order[cut[p] : cut[p + 1]]
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted keys, as packed differences."""
+    return pack(np.diff(keys, prepend=keys.dtype.type(0)))
+
+
+def _keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob), dtype=np.uint64)
+
+
+class Sides:
+    """Distinct pairs (x, y) with a cold x, and their counts; flushed as blobs by x's partition."""
+
+    def __init__(self, kind: int, parts: int):
+        self.kind, self.parts, self.size = kind, parts, 0
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> None:
+        if len(x):
+            self.held.append((x, y, np.ones(len(x), np.int64) if n is None else n))
+            self.size += len(x)
+
+    def fold(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pairs by x."""
+        if not self.held:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        x, y, n = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        order = np.lexsort((y, x))
+        x, y, n = x[order], y[order], n[order]
+        at = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+        self.held = [(x[at], y[at], np.add.reduceat(n, at))]
+        self.size = len(at)
+        return self.held[0]
+
+    def blobs(self) -> list[tuple]:
+        x, y, n = self.fold()
+        self.held, self.size = [], 0
+        return [(p, self.kind, _steps(x[own]), pack(y[own]), pack(n[own])) for p, own in _parted(x, self.parts)]
+
+
+def _count_pairs(train: DataFrame, shared, parts: int) -> DataFrame:
+    """(kind, key, other, n, total) of all pairs.
+
+    HOT: key is h << 16 | w.  BY_WORD: key is w, other is h, total is c(w).  BY_HISTORY: key is h, other is w.
+    """
+
+    def gather(batches):
+        memo = IdMemo(shared.value)
+        hot, by_word, by_history = Tally(parts, 2_000_000), Sides(BY_WORD, parts), Sides(BY_HISTORY, parts)
+
+        def out():
+            rows = by_word.blobs() + by_history.blobs()
+            if hot.held:
+                rows += [(p, HOT, k, b"", n) for p, k, n in zip(*(c.to_pylist() for c in hot.blobs().columns), strict=True)]
+            types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["part", "kind", "keys", "others", "counts"])
+
+        for big in batches:
+            for b in sliced(big):
+                each = [memo.array(ascii_words(text)) for text in b.column(0).to_pylist()]
+                if not each:
+                    continue
+                w = np.concatenate(each)
+                size = np.fromiter(map(len, each), np.int64, len(each))
+                h = np.roll(w, 1)
+                h[np.cumsum(size) - size] = BEGIN
+                cold_h, cold_w = h >= IDS, w >= IDS
+                both = ~(cold_h | cold_w)
+                hot.add((h[both] << np.uint64(16) | w[both]).astype(np.uint32))
+                by_word.add(w[cold_w], h[cold_w])
+                some = cold_h & ~cold_w
+                by_history.add(h[some], w[some])
+                for side in (by_word, by_history):
+                    if side.size > 600_000:
+                        side.fold()
+                if hot.full() or max(by_word.size, by_history.size) > 400_000:
+                    yield out()
+        yield out()
+
+    def add_up(batches):
+        at, hot, side = None, [], None
+
+        def out():
+            if at[1] == HOT:
+                key, n = _counted(np.concatenate([k for k, _ in hot]), np.concatenate([n for _, n in hot]))
+                other, total = np.zeros(len(key), np.uint64), np.zeros(len(key), np.int64)
+            else:
+                key, other, n = side.fold()
+                total = np.zeros(len(key), np.int64)
+                if at[1] == BY_WORD:
+                    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                    total = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(key))))
+            for i in range(0, len(key), 200_000):
+                e = slice(i, i + 200_000)
+                cols = [pa.array(np.full(len(key[e]), at[1], np.int32)), pa.array(_signed(key[e])), pa.array(_signed(other[e])), pa.array(n[e], pa.int64()), pa.array(total[e], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["kind", "key", "other", "n", "total"])
+
+        for b in batches:
+            for part, kind, keys, others, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (part, kind) != at:
+                    if at:
+                        yield from out()
+                    at, hot, side, held = (part, kind), [], Sides(kind, 1), 0
+                k, n = _keys(keys), unpack(counts).astype(np.int64)
+                if kind == HOT:
+                    hot.append((k, n))
+                    held += len(k)
+                    if held > 4_000_000:
+                        hot[:] = [_counted(np.concatenate([x for x, _ in hot]), np.concatenate([x for _, x in hot]))]
+                        held = len(hot[0][0]) // 2
+                else:
+                    side.add(k, unpack(others), n)
+        if at:
+            yield from out()
+
+    blobs = train.mapInArrow(gather, "part int, kind int, keys binary, others binary, counts binary")
+    blobs = blobs.repartition(parts, "part").sortWithinPartitions("part", "kind")
+    return blobs.mapInArrow(add_up, "kind int, key long, other long, n long, total long")
+
+
+class Block:
+    """Rows (key, kind, n, gain) of the table, flushed as blobs by partition, of batch -1."""
+
+    def __init__(self, parts: int, limit: int = 500_000):
+        self.parts, self.limit, self.size = parts, limit, 0
+        self.held: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, *columns: np.ndarray) -> bool:
+        """Whether it is full."""
+        self.held.append(columns)
+        self.size += len(columns[0])
+        return self.size >= self.limit
+
+    def blobs(self) -> pa.RecordBatch:
+        rows = []
+        if self.held:
+            key, kind, n, gain = (np.concatenate(c) for c in zip(*self.held, strict=True))
+            for k in (WORD, PAIR):
+                some = np.flatnonzero(kind == k)
+                of = key[some].view(np.uint64)
+                order = np.argsort(of)
+                some, of = some[order], of[order]
+                rows += [(p, k, -1, _steps(of[own]), pack(n[some[own]]), gain[some[own]].tobytes(), b"") for p, own in _parted(of, self.parts)]
+        self.held, self.size = [], 0
+        return _rows(rows)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of BLOBS."""
+    types = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], BLOBS.replace(",", "").split()[::2])
+
+
+def _weights(n: np.ndarray, mass: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a(h), and what scales the pairs of h, from c(h) and the sums of d(c) c(h,w) / c(h) and of P(w) over its pairs."""
+    scale = np.where(1 - mass < 1e-9, n / (n + 1.0), 1.0)
+    return np.where(mass > 0, (1 - mass * scale) / np.maximum(1 - lower, 1e-12), 1.0), scale
+
+
 def _histogram(table: DataFrame) -> dict[int, int]:
     """How many keys have each count: a row a distinct count, of which there are O(sqrt(tokens))."""
     return {r["n"]: r["k"] for r in table.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
@@ -288,11 +474,26 @@ def _least(hist: dict[int, int], room: int, least: int) -> int:
 def fit(train: DataFrame, max_words: int = 60_000, max_pairs: int = 4_000_000) -> tuple[Model, DataFrame]:
     """The model of the texts in ``train`` (one column, text), and its table (key, kind, n, gain).
 
-    The table holds rare words (kind WORD) and the pairs that are not broadcast (kind PAIR).
+    The table holds the cold words (kind WORD) and the pairs that are not broadcast (kind PAIR).
     """
+    model, blocks = _learn(train, max_words, max_pairs)
+
+    def run(batches):
+        for b in batches:
+            for kind, a, n, gain in zip(*(b.column(i).to_pylist() for i in (1, 3, 4, 5)), strict=True):
+                key = _signed(_keys(a))
+                cols = [pa.array(key), pa.array(np.full(len(key), kind, np.int32)), pa.array(unpack(n).astype(np.int64)), pa.array(np.frombuffer(gain))]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "kind", "n", "gain"])
+
+    return model, blocks.mapInArrow(run, "key long, kind int, n long, gain double")
+
+
+def _learn(train: DataFrame, max_words: int = 60_000, max_pairs: int = 4_000_000) -> tuple[Model, DataFrame]:
+    """The model and its table in BLOBS."""
     spark = train.sparkSession
+    start = made()
     if max_words > 65_000:
-        raise ValueError("a vocabulary id has 16 bits")
+        raise ValueError("a hot word's id has 16 bits")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def words():
@@ -304,7 +505,7 @@ def fit(train: DataFrame, max_words: int = 60_000, max_pairs: int = 4_000_000) -
     hist = _histogram(table)
     tokens, types = sum(c * k for c, k in hist.items()), sum(hist.values())
     texts = (table.where(F.col("key") == int(end)).select("n").first() or [0])[0]
-    cut = _least(hist, max_words, 2)
+    cut = _least(hist, max_words, 1)
     top = table.where((F.col("n") >= cut) & (F.col("key") != int(end))).select("key", "n").toArrow()
     key = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
@@ -312,141 +513,259 @@ def fit(train: DataFrame, max_words: int = 60_000, max_pairs: int = 4_000_000) -
     ident = np.arange(3, 3 + len(word))
     count = np.concatenate([[max(tokens - int(n.sum()) - texts, 0), texts, texts], n]).astype(np.int64)
     none = np.zeros(0)
-    rare_d = discounts(hist)
-    rare_mass = sum(float(_d(rare_d, np.array([c]))[0]) * c * k for c, k in hist.items() if c < cut)
-    if cut <= 1 or texts < cut and texts:  # the end token is never rare
-        rare_mass -= float(_d(rare_d, np.array([texts]))[0]) * texts if texts < cut else 0
-    rare_total = int(count[RARE])
-    left = 1 - rare_mass / rare_total if rare_total else 1.0
-    single = np.concatenate([[count[RARE] + 1, count[END], 0], count[3:]]) / (tokens + 1) if tokens else np.array([0.5, 0.5, 0])
+    word_d = discounts(hist)
+    single_of = lambda c: _d(word_d, c) * c / (tokens + 1)
+    every = np.array(sorted(hist), np.int64)
+    left = 1 - float((single_of(every) * np.array([hist[c] for c in every.tolist()])).sum()) if tokens else 0.5
+    single = np.concatenate([[0, single_of(count[END]) if tokens else 0.5, 0], single_of(count[3:])])
+    single[RARE] = max(1 - single.sum(), left)
     with np.errstate(divide="ignore"):
         single_log = np.log10(single)
-    model = Model(tokens, types, word, ident, count, none.astype(np.uint32), none, True, single_log, np.zeros(len(count)), rare_d, rare_total, float(np.log10(max(left, 1e-12))))
-
+    unseen_log = float(np.log10(left) - single_log[RARE])
+    model = Model(tokens, types, word, ident, count, none.astype(np.uint32), none, True, single_log, np.zeros(len(count)), word_d, unseen_log)
     shared = spark.sparkContext.broadcast(model)
-
-    def pairs():
-        memo = IdMemo(shared.value)
-
-        def keys(text):
-            i = _ids(memo.array(ascii_words(text)))
-            return (np.concatenate([[BEGIN], i[:-1]]) << 16 | i).astype(np.uint32)
-
-        return keys
-
-    found = materialise(_count(train, pairs, parts), "pairs")
-    hist2 = _histogram(found)
+    discard(spark, start)
+    found = materialise(_count_pairs(train, shared, parts), "pairs")
+    drop_shuffles(spark)
+    by_kind = found.groupBy((F.col("kind") == HOT).alias("hot"), "n").agg(F.count(F.lit(1)).alias("k")).collect()
+    hist_hot, hist2 = {r["n"]: r["k"] for r in by_kind if r["hot"]}, {}
+    for r in by_kind:
+        hist2[r["n"]] = hist2.get(r["n"], 0) + r["k"]
     d = discounts(hist2)
 
-    def share(key, n):
-        """h, w and discounted P(w | h) of pairs."""
-        h, w = key >> 16, key & 0xFFFF
-        return h, w, _d(d, n) * n / np.maximum(count[h], 1)
+    def ends(b):
+        """h by id, log10 P(w) and the counts of pairs with a hot history."""
+        kind, key, other, n, total = (b.column(i).to_numpy() for i in range(5))
+        by_word = kind == BY_WORD
+        h = np.where(by_word, other, key >> 16)
+        w = np.where(by_word, RARE, key & 0xFFFF)
+        return h, np.where(by_word, single_of(total), single[w]), n, np.where(by_word, _signed(_pair_key(other.view(np.uint64), key.view(np.uint64))), key)
 
     def sums(batches):
         mass, lower = np.zeros(len(count)), np.zeros(len(count))
         for b in batches:
-            h, w, p = share(b.column(0).to_numpy(), b.column(1).to_numpy())
-            mass += np.bincount(h, p, len(count))
-            lower += np.bincount(h, single[w], len(count))
+            h, p, n, _ = ends(b)
+            mass += np.bincount(h, _d(d, n) * n / np.maximum(count[h], 1), len(count))
+            lower += np.bincount(h, p, len(count))
         some = np.flatnonzero(mass)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(mass[some]), pa.array(lower[some])], ["h", "mass", "lower"])
 
-    by_h = found.select("key", "n").mapInArrow(sums, "h long, mass double, lower double").groupBy("h").agg(F.sum("mass").alias("mass"), F.sum("lower").alias("lower")).toArrow()
+    hot_history = found.where((F.col("kind") == HOT) | (F.col("kind") == BY_WORD) & F.col("other").between(0, IDS - 1))
+    by_h = hot_history.mapInArrow(sums, "h long, mass double, lower double").groupBy("h").agg(F.sum("mass").alias("mass"), F.sum("lower").alias("lower")).toArrow()
     mass, lower = np.zeros(len(count)), np.zeros(len(count))
     for x, name in ((mass, "mass"), (lower, "lower")):
         x[by_h.column("h").to_numpy()] = by_h.column(name).to_numpy()
-    room = 1 - lower
-    # where the pairs are the whole vocabulary or leave nothing, they are scaled to sum to one
-    shut = (room < 1e-9) | (1 - mass < 1e-12)
-    back = np.where(shut, 1e-30, (1 - mass) / np.maximum(room, 1e-9))
-    back[mass == 0] = 1.0
+    back, scale = _weights(count, mass, lower)
     back_log = np.log10(back)
 
+    def gain_of(b):
+        h, p, n, key = ends(b)
+        return key, np.full(len(key), PAIR), n, np.log10(scale[h] * _d(d, n) * n / np.maximum(count[h], 1)) - back_log[h] - np.log10(p)
+
     def gains(batches):
         for b in batches:
-            h, w, p = share(b.column(0).to_numpy(), b.column(1).to_numpy())
-            p = np.where(shut[h], p / np.maximum(mass[h], 1e-300), p)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.log10(p) - back_log[h] - single_log[w])], ["key", "n", "gain"])
+            key, _, _, gain = gain_of(b)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(gain)], ["key", "gain"])
+
+    def gain_blobs(batches):
+        block = Block(parts)
+        for b in batches:
+            if block.add(*gain_of(b)):
+                yield block.blobs()
+        yield block.blobs()
 
-    pair_cut = _least(hist2, max_pairs, 1)
-    pick = lambda rows: rows.select("key", "n").mapInArrow(gains, "key long, n long, gain double")
-    hot = pick(found.where(F.col("n") >= pair_cut)).select("key", "gain").toArrow()
+    pair_cut = _least(hist_hot, max_pairs, 1)
+    often = (F.col("kind") == HOT) & (F.col("n") >= pair_cut)
+    hot = found.where(often).mapInArrow(gains, "key long, gain double").toArrow()
     pair = hot.column("key").to_numpy().astype(np.uint32)
     order = np.argsort(pair)
     model.pair, model.pair_gain, model.back_log = pair[order], hot.column("gain").to_numpy()[order], back_log
     model.whole = pair_cut <= 1
     shared.unpersist()
-    rare = table.where((F.col("key") != int(end)) & (F.col("n") < cut)).select("key", F.lit(WORD).alias("kind"), "n", F.lit(0.0).alias("gain"))
-    if model.whole:
-        return model, rare
-    return model, rare.unionByName(pick(found.where(F.col("n") < pair_cut)).withColumn("kind", F.lit(PAIR)))
+
+    def by_history(batches):
+        """Blobs of the pairs with a cold history, by its partition; c(w) goes along where w is cold."""
+        held = []
+
+        def out():
+            h, w, n, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(h, kind="stable")
+            h, w, n, c = h[order], w[order], n[order], c[order]
+            rows = [(p, _steps(h[own]), pack(w[own]), pack(n[own]), pack(c[own])) for p, own in _parted(h, parts)]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(5)], ["part", "h", "w", "n", "c"])
+
+        for b in batches:
+            kind, key, other, n, total = (b.column(i).to_numpy() for i in range(5))
+            key, other, turned = key.view(np.uint64), other.view(np.uint64), kind == BY_WORD
+            held.append((np.where(turned, other, key), np.where(turned, key, other), n, total))
+            if sum(len(x[0]) for x in held) > 1_000_000:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    def cold_gains(batches):
+        held, at = [], None
+
+        def out():
+            h, w, n, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(h, kind="stable")
+            h, w, n, c = h[order], w[order], n[order].astype(np.int64), c[order].astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+            p = np.where(w < IDS, single[np.where(w < IDS, w, 0).astype(np.int64)], single_of(c))
+            times = np.add.reduceat(n, first)
+            share = _d(d, n) * n / times[of]
+            back, scale = _weights(times, np.add.reduceat(share, first), np.add.reduceat(p, first))
+            gain = np.log10(scale[of] * share) - np.log10(back)[of] - np.log10(p)
+            key = np.concatenate([h[first], _pair_key(h, w)])
+            kind = np.repeat(np.array([WORD, PAIR], np.int32), [len(first), len(h)])
+            n, gain = np.concatenate([times, n]), np.concatenate([np.log10(single_of(times)) + np.log10(back), gain])
+            block = Block(parts)
+            block.add(key, kind, n, gain)
+            return block.blobs()
+
+        for b in batches:
+            for part, h, *more in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if part != at and held:
+                    yield out()
+                    held.clear()
+                at = part
+                held.append((_keys(h), *map(unpack, more)))
+        if held:
+            yield out()
+
+    cold = found.where((F.col("kind") == BY_HISTORY) | (F.col("kind") == BY_WORD) & ~F.col("other").between(0, IDS - 1))
+    cold = cold.mapInArrow(by_history, "part int, h binary, w binary, n binary, c binary").repartition(parts, "part").sortWithinPartitions("part")
+    return model, hot_history.where(~often).mapInArrow(gain_blobs, BLOBS).unionByName(cold.mapInArrow(cold_gains, BLOBS))
 
 
 def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of each row of (doc_id, text)."""
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches):
+        block = Block(parts)
+        for b in batches:
+            if block.add(*(b.column(i).to_numpy() for i in range(4))):
+                yield block.blobs()
+        yield block.blobs()
+
+    return _score(docs, model, table.select("key", "kind", "n", "gain").mapInArrow(run, BLOBS))
+
+
+def _score(docs: DataFrame, model: Model, blocks: DataFrame) -> DataFrame:
     spark = docs.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shared = spark.sparkContext.broadcast(model)
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
-    doc_type = keyed.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", "text")
+    doc_type = docs.schema["doc_id"].dataType.simpleString()
+    blobs = f"{BLOBS}, ids array<{doc_type}>"
 
-    def ask(batches):
-        """A row of each text's sums over what is broadcast, and a row for each key to be looked up.
+    def with_ids(rows: pa.RecordBatch, ids: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*rows.columns, ids], [*rows.schema.names, "ids"])
 
-        The rows of sums are dealt by the hash of text and place; ``times`` is how many tokens a row stands for.
-        """
+    def ask(batches):
+        """Of each batch of texts, a row of sums over what is broadcast, and rows of keys to be looked up."""
         m = shared.value
-        memo = IdMemo(m)
-        base_by_id = m.base_log(m.count)
-        base_by_id[RARE] = 0
+        memo, place = IdMemo(m), TaskContext.get().partitionId() << 32
+        base_by_id, single_log = m.base_log(m.count), m.single_log.copy()
+        base_by_id[RARE] = single_log[RARE] = 0
         for big in batches:
-            for b in sliced(big):
+            for b in sliced(big, 2_000_000):
                 n = b.num_rows
-                each = [memo.array(ascii_words(text)) for text in b.column(2).to_pylist()]
+                each = [memo.array(ascii_words(text)) for text in b.column(1).to_pylist()]
                 size = np.fromiter(map(len, each), np.int64, n)
                 start, of, got = np.cumsum(size) - size, np.repeat(np.arange(n), size), np.concatenate(each)
-                rare, ids = got >= IDS, _ids(got)
-                h = np.roll(ids, 1)
-                h[start] = BEGIN
+                before = np.roll(got, 1)
+                before[start] = BEGIN
+                ids, h, cold = _ids(got), _ids(before), got >= IDS
+                hot = ~(cold | (before >= IDS))
                 pair = (h << 16 | ids).astype(np.uint32)
-                gain, more = m.gains(pair)
-                word_of, words, word_n = _distinct(of[rare], got[rare])
-                pair_of, pairs, pair_n = _distinct(of[more], pair[more])
-                spread = b.column(1).to_numpy() + np.arange(n) * 0x9E3779B97F4A  # matches nothing; copies go to different tasks
-                key = np.concatenate([spread, _signed(words), pairs.astype(np.int64)])
-                kind = np.repeat(np.array([TEXT, WORD, PAIR], np.int32), [n, len(words), len(pairs)])
-                of = pa.array(np.concatenate([np.arange(n), word_of, pair_of]))
-                none = np.zeros(len(key) - n)
+                gain, more = np.zeros(len(got)), np.zeros(len(got), bool)
+                gain[hot], more[hot] = m.gains(pair[hot])
+                key = np.concatenate([pair[more].astype(np.uint64), _pair_key(before[~hot], got[~hot])])
                 add_up = lambda x: np.add.reduceat(x, start)  # noqa: B023, E731
-                times = np.concatenate([add_up((~rare).astype(np.int64)), word_n, pair_n]).astype(np.int32)
-                values = [times, np.concatenate([add_up(base_by_id[ids]), none]), np.concatenate([add_up(m.back_log[h] + m.single_log[ids] + gain), none])]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(of), b.column(1).take(of), pa.array(key), pa.array(kind), *map(pa.array, values)],
-                    ["doc_id", "row", "key", "kind", "times", "base", "score"],
-                )
-
-    asked = keyed.mapInArrow(ask, f"doc_id {doc_type}, row long, key long, kind int, times int, base double, score double").join(table, ["key", "kind"], "left")
-    c = F.coalesce("n", F.lit(0)).cast("double")
-    d = F.element_at(F.array(*[F.lit(float(x)) for x in model.rare_d]), F.least(c, F.lit(float(K))).cast("int") + 1)
-    q = F.when(c > 0, F.log10(F.when(c <= K, d).otherwise(1.0) * c / F.lit(float(max(model.rare_total, 1))))).otherwise(F.lit(model.unseen_log))
-    base = F.log10((c + 0.1) / F.lit(model.tokens + 0.1 * (model.types + 1)))
-    word, pair, text = (F.col("kind") == x for x in (WORD, PAIR, TEXT))
-    known = (word & (c > 0)) | (text & F.lit(model.tokens > 0))
-    total = asked.groupBy("doc_id", "row").agg(
-        F.sum(F.when(pair, 0).otherwise(F.col("times"))).alias("n_tokens"), F.sum(F.when(known, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.when(word, base * F.col("times")).otherwise(F.col("base"))).alias("base"),
-        F.sum(F.when(word, q * F.col("times")).when(pair, F.coalesce("gain", F.lit(0.0)) * F.col("times")).otherwise(F.col("score"))).alias("score"),
-        F.count(F.when(text, 1)).alias("copies"),
-    )
-    # rows of equal id and text were added up; each gets its share back
-    each = total.withColumn("one", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    share = lambda x: F.col(x) / F.col("copies")
-    return each.select("doc_id", share("n_tokens").cast("long").alias("n_tokens"), share("n_known").cast("long").alias("n_known"), share("base").alias("base_score"), share("score").alias("score"))
+                known = add_up((~cold).astype(np.int64)) if m.tokens else np.zeros(n, np.int64)
+                sums = add_up(m.back_log[h] + single_log[ids] + gain)
+                rows = [(place % parts, TEXT, place, size.tobytes(), add_up(base_by_id[ids]).tobytes(), sums.tobytes(), known.tobytes())]
+                for kind, text, keys in ((WORD, of[cold], got[cold]), (PAIR, np.concatenate([of[more], of[~hot]]), key)):
+                    text, keys, times = _distinct(text, keys)
+                    rows += [(p, kind, place, _steps(keys[own]), pack(text[own]), pack(times[own]), b"") for p, own in _parted(keys, parts)]
+                ends = pa.array([0, *[n] * len(rows)], pa.int32())
+                yield with_ids(_rows(rows), pa.ListArray.from_arrays(ends, b.column(0)))
+                place += 1
+
+    def answer(batches):
+        """Rows of texts as they are, and for each row of keys its sums by text."""
+        m, at, held, table = shared.value, None, [], None
+        unseen = m.single_log[RARE] + m.unseen_log
+        for b in batches:
+            kinds = b.column(1).to_numpy()
+            yield b.filter(pa.array(kinds == TEXT))
+            rows = []
+            for part, kind, batch, one, two, three in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if kind == TEXT:
+                    continue
+                if (part, kind) != at:
+                    at, held, table = (part, kind), [], None
+                if batch < 0:
+                    held.append((_keys(one), unpack(two).astype(np.int64), np.frombuffer(three)))
+                    continue
+                if table is None:
+                    keys, n, gain = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
+                    order = np.argsort(keys)
+                    table, held = (keys[order], n[order] if kind == WORD else n, gain[order]), []
+                keys, of, times = _keys(one), unpack(two).astype(np.int64), unpack(three).astype(np.int64)
+                place = np.minimum(np.searchsorted(table[0], keys), max(len(table[0]) - 1, 0))
+                hit = table[0][place] == keys if len(table[0]) else np.zeros(len(keys), bool)
+                value, base, known = np.zeros(len(keys)), b"", b""
+                value[hit] = table[2][place[hit]] * times[hit]
+                if kind == WORD:
+                    value[~hit] = unseen * times[~hit]
+                    c = np.zeros(len(keys), np.int64)
+                    c[hit] = table[1][place[hit]]
+                    texts = np.unique(of)
+                    base, known = np.bincount(of, m.base_log(c) * times)[texts].tobytes(), pack(np.bincount(of, hit * times)[texts].astype(np.int64))
+                else:
+                    texts = np.unique(of[hit])
+                if len(texts):
+                    rows.append((part, kind, batch, _steps(texts), base, np.bincount(of, value)[texts].tobytes(), known))
+            if rows:
+                yield with_ids(_rows(rows), pa.nulls(len(rows), b.column(7).type))
+
+    def finish(batches):
+        """The rows of a batch of texts come first, then the sums to be added."""
+        held = None
+
+        def out():
+            ids, _, size, base, sums, known = held
+            return pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(known), pa.array(base), pa.array(sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+        for b in batches:
+            for i, (kind, batch, one, two, three, four) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 7)), strict=True)):
+                if kind == TEXT:
+                    if held:
+                        yield out()
+                    held = (b.column(7)[i].values, batch, np.frombuffer(one, np.int64), np.frombuffer(two).copy(), np.frombuffer(three).copy(), np.frombuffer(four, np.int64).copy())
+                    continue
+                texts = _keys(one).astype(np.int64)
+                held[4][texts] += np.frombuffer(three)
+                if kind == WORD:
+                    held[3][texts] += np.frombuffer(two)
+                    held[5][texts] += unpack(four).astype(np.int64)
+        if held:
+            yield out()
+
+    asked = blocks.unionByName(docs.mapInArrow(ask, blobs), allowMissingColumns=True)
+    asked = asked.repartition(parts, "part").sortWithinPartitions("part", "kind", "batch")
+    told = asked.mapInArrow(answer, blobs).repartition(parts, "batch").sortWithinPartitions("batch", F.col("kind").desc())
+    return told.mapInArrow(finish, f"doc_id {doc_type}, n_tokens long, n_known long, base_score double, score double")
 
 
 def train_and_score(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     """Learn from the texts outside the held-out fold and score all."""
     d = docs.select("doc_id", "text")
-    model, table = fit(d.where(crc_fold("doc_id", folds) != held).select("text"))
-    out = score(d, model, table)
+    model, blocks = _learn(d.where(crc_fold("doc_id", folds) != held).select("text"))
+    out = _score(d, model, blocks)
     return out.select("doc_id", (crc_fold("doc_id", folds) == held).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
