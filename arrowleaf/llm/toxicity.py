@@ -115,7 +115,10 @@ def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, fold_ok, sample: int = 16_000, model: Ftrl | None = None) -> Ftrl:
-    """Learn from at most ``sample`` labelled rows; ``fold_ok`` says which ids may be learnt from."""
+    """Learn from at most ``sample`` labelled rows; ``fold_ok`` says which ids may be learnt from.
+
+    One task learns; the driver gets the weights only.
+    """
     model = model or Ftrl()
     bits = model.bits
     ids = labelled_sample(labels, label, fold_ok, sample)
@@ -128,10 +131,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, fold_ok, sample: int = 1
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(feats, pa.binary())], ["id", "y", "f"])
 
     d = docs.select(F.col("doc_id").alias("sample_id"), "text").join(F.broadcast(ids), "sample_id")
-    got = d.select(F.xxhash64("sample_id").alias("id"), "y", "text").mapInArrow(run, "id long, y int, f binary").toArrow()
-    order = pc.sort_indices(got, sort_keys=[("id", "ascending"), ("f", "ascending")]).to_numpy()
-    rows = _views(got.column("f"))
-    return model.fit([rows[i] for i in order], got.column("y").to_numpy()[order].astype(float))
+    rows = d.select(F.xxhash64("sample_id").alias("id"), "y", "text").mapInArrow(run, "id long, y int, f binary")
+
+    def learn(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            got = pa.Table.from_batches(held)
+            order = pc.sort_indices(got, sort_keys=[("id", "ascending"), ("f", "ascending")]).to_numpy()
+            views = _views(got.column("f"))
+            m = model.fit([views[i] for i in order], got.column("y").to_numpy()[order].astype(float))
+            yield pa.RecordBatch.from_pydict({"slots": pa.array([m.index.tobytes()]), "weights": pa.array([m.weight.tobytes()]), "bias": pa.array([float(m.bias)])})
+
+    got = rows.repartition(1).mapInArrow(learn, "slots binary, weights binary, bias double").collect()
+    if not got:
+        return model.fit([], np.zeros(0))
+    model.index, model.weight, model.bias = np.frombuffer(got[0]["slots"], np.uint32), np.frombuffer(got[0]["weights"]), got[0]["bias"]
+    return model
 
 
 def score(docs: DataFrame, model: Ftrl, threshold: float = 0.3) -> DataFrame:
