@@ -1,12 +1,14 @@
-"""Near copies by true Jaccard similarity of word shingles, found with MinHash bands.
+"""Near copies by true Jaccard similarity of word shingles, found by SimHash and, beyond its radius, by MinHash bands.
 
 Two texts link when their sets of five-word shingles have a Jaccard similarity of ``SHARE`` or more.
-Texts of equal sets are one node.  Nodes that agree in all ``ROWS`` minima of one of ``BANDS`` bands are
+Texts of equal sets are one node.  First come the links of ``simhash``: nodes whose fingerprints over the same
+shingles differ in at most ``RADIUS`` bits, by the generalised pigeonhole principle.  That radius reaches
+similarities of some 0.95 only, so the rest is found by bands.  Nodes that agree in all ``ROWS`` minima of one of ``BANDS`` bands are
 candidates: at 0.8 a pair shares no band with probability (1 - 0.8^4)^24, about 3 in a million.  Every
 link is verified on the whole sets.
 
-Candidates are tried in three rounds.  First each node is tried against three of its bands' centres, then
-against the node of another component that agrees with it in most minima, band by band; both are linear and
+Candidates are tried in three rounds.  First come the pairs of near fingerprints, with each node against three of its
+bands' centres, then each node is tried against the node of another component that agrees with it in most minima, band by band; both are linear and
 join nearly all of a dense group.  Last, all pairs of a band's nodes that are still in different components
 are compared on their whole sets inside a task, unless their 96 minima agree in so few places (under 53)
 that a pair at 0.8 does so with a chance below one in a million.  A pair is compared in the first band it
@@ -26,9 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import HEAVY, HashMemo, ascii_words, materialise, skew_safe_semi, sliced
-from .simhash import BLOCK, _lookup, components, first_rows
+from .simhash import BLOCK, _lookup, components, fingerprint, first_rows, links
 
 WIDTH, SHARE = 5, 0.8
+#: Differing bits of fingerprints that link.
+RADIUS = 4
 BANDS, ROWS = 24, 4
 #: Minima that agree at least, for a pair to be verified.
 AGREE = 53
@@ -65,27 +69,37 @@ def minima(h: np.ndarray) -> np.ndarray:
 
 
 def _marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, node, sketch, keys) of each row: its set, its minima, its bands."""
+    """(doc_id, row_hash, node, sketch, keys, fp) of each row: its set, its minima, its bands, its fingerprint."""
 
     def run(batches):
         memo = HashMemo()
         for big in batches:
             for b in sliced(big):
-                node, sketch, keys = [], [], []
+                node, sketch, keys, fp = [], [], [], []
                 for text in b.column(2).to_pylist():
                     h = shingles(text, memo)
                     low = minima(h)
                     node.append(xxhash.xxh64_intdigest(h.tobytes()))
+                    fp.append(fingerprint(text, WIDTH))
                     sketch.append(low.tobytes())
                     keys.append([xxhash.xxh64_intdigest(low[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)])
                 signed = np.array(keys, np.uint64).reshape(-1, BANDS).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(sketch, pa.binary()), pa.array(list(signed), pa.list_(pa.int64()))],
-                    ["doc_id", "row_hash", "node", "sketch", "keys"],
+                    [b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(sketch, pa.binary()), pa.array(list(signed), pa.list_(pa.int64())), pa.array(fp, pa.int64())],
+                    ["doc_id", "row_hash", "node", "sketch", "keys", "fp"],
                 )
 
     d = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text")
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, row_hash long, node long, sketch binary, keys array<long>")
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, row_hash long, node long, sketch binary, keys array<long>, fp long")
+
+
+def _near_prints(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) of nodes that connect just what fingerprints of at most ``radius`` differing bits connect."""
+    first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "fingerprints")
+    same = _lookup(nodes.select("node", "fp"), first, "fp", "n", "first", nodes.count()).where("node <> first")
+    a, b = (first.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab")
+    near = links(first, radius).join(a, "a").join(b, "b")
+    return same.select(F.col("first").alias("a"), F.col("node").alias("b")).union(near.select("first_a", "first_b"))
 
 
 def _known(docs: DataFrame, marks: DataFrame, live: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -266,16 +280,17 @@ def _filled(rows: DataFrame, known: DataFrame, sets: bool = False) -> DataFrame:
 def grouped(docs: DataFrame, share: float = SHARE, block: int = BLOCK) -> DataFrame:
     """(doc_id, row_hash, node, root) of each row; rows of one root are one group of near copies."""
     marks = materialise(_marks(docs), "marks")
-    same = marks.groupBy("node").agg(F.min("row_hash").alias("row_hash"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    same = marks.groupBy("node").agg(F.min("row_hash").alias("row_hash"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), F.min("fp").alias("fp"))
     nodes = materialise(same, "nodes")
     filed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     middle = F.min(F.struct(F.xxhash64("node", "key").alias("x"), "node"))["node"]
     bands = materialise(filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), middle.alias("centre")).where("n > 1"), "bands")
     live = materialise(_matched(filed, bands, "key", "n", "centre", filed.count()).select("key", "band", "node", "centre"), "shared-bands")
-    known = _known(docs, marks, live, nodes)
+    prints = materialise(_near_prints(nodes), "near-fingerprints")
+    known = _known(docs, marks, live.select("node").union(prints.select("a")).union(prints.select("b")), nodes)
     some = live.where("node <> centre").select("node", "centre").distinct()
     some = some.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("node", "centre")))).where("k <= 3")
-    tried = materialise(_ordered(some.select(F.col("node").alias("a"), F.col("centre").alias("b"))), "first-pairs")
+    tried = materialise(_ordered(some.select(F.col("node").alias("a"), F.col("centre").alias("b")).union(prints)), "first-pairs")
     stars = components(_verified(known, tried, share))
     more = _ordered(_blocks(_filled(_parted(live, known, stars, block), known), _Run.best))
     more = _verified(known, materialise(more.join(tried, ["a", "b"], "left_anti"), "best-pairs"), share)

@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from arrowleaf.llm import neardup
+from arrowleaf.llm import neardup, simhash
 from arrowleaf.llm.common import ascii_words
 
 
@@ -68,3 +70,24 @@ def test_repeated_texts_alike_to_none(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = sorted(r.doc_id for r in neardup.one_of_each(docs).collect())
     assert got == sorted(set(_groups(texts))) == [0, 50, 90]
+
+
+def test_fingerprints_link_without_bands(spark, monkeypatch):
+    """The links of SimHash count by themselves: here no band is shared."""
+    texts = _texts()[:246]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    marks = neardup._marks
+    alone = lambda d: marks(d).withColumn("keys", F.array(F.xxhash64("node")))
+    monkeypatch.setattr(neardup, "_marks", alone)
+    roots = {r.doc_id: r.root for r in neardup.grouped(docs).collect()}
+    prints, sets = [simhash.fingerprint(t, 5) for t in texts], [_set(t) for t in texts]
+    want, groups, whole = 0, 0, _groups(texts)
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            alike = common >= 0.8 * (len(sets[i]) + len(sets[j]) - common)
+            assert roots[i] != roots[j] or whole[i] == whole[j]
+            if sets[i] != sets[j] and alike and ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() <= 4:
+                want += 1
+                groups += roots[i] == roots[j]
+    assert want > 5 and groups == want
