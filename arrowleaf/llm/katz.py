@@ -8,16 +8,18 @@ The model is of order two: pair -> word -> unseen word.
 * P(w | h) = d(c) c(h,w) / c(h) for pairs seen in training, else a(h) P(w); a(h) makes the sum over all words
   one.  A history whose discounts leave nothing counts one token more, so that some is left.
 * d(r) is Katz's discount for r <= 5 from the counts of counts over all pairs (or words).
-* The table of pairs holds what a pair adds to the backed-off value, log P(w|h) - log a(h) - log P(w), and the
-  table of words log P(w) + log a(w), so a text's score is a sum of terms that are looked up apart.
+* A text's score is a sum of terms that are looked up apart: of each token log P(w) + log a(w), and of each pair
+  seen in training its gain, what it adds to the backed-off value, log P(w|h) - log a(h) - log P(w).
 
 The ``max_words`` most frequent words (hot) have an id of 16 bits and are broadcast, with the ``max_pairs`` most
 frequent pairs of hot words; both only save lookups.  The others (cold) go by their 64-bit hash.  Pairs are
 counted where what they lack is at hand: pairs with a cold word w meet by w, where c(w) is the sum of their
 counts; pairs with a cold history h then meet by h, where c(h) is.
 
-Counts, tables and lookups travel as packed blocks, one a task or batch of texts and target partition, so a
-frequent word or pair is one entry a block; a block of lookups is answered by sums for each of its texts.
+Counts, tables and lookups travel as packed blocks, one a task or batch of texts and target partition, sorted by
+key.  A text asks once for each cold token, with its neighbours: the word and both its pairs are answered where
+the word is filed.  Tables hold counts, and gains only of pairs of two cold words; the others follow from the
+counts, the cold word and what is broadcast.  A block of lookups is answered by sums for each of its texts.
 
 Defined cases: null and empty texts are the end token alone; a null id is the empty text for the fold;
 rows of equal id and text give equal rows; no training tokens leave counts of zero (N = V = 0) and
@@ -27,7 +29,7 @@ are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +43,14 @@ from .common import HashMemo, ascii_words, crc_fold, discard, drop_shuffles, mad
 RARE, END, BEGIN = 0, 1, 2
 #: Vocabulary ids are below this.
 IDS = 1 << 16
-#: What a row of the lookups is about.
-WORD, PAIR, TEXT = 0, 1, 2
+#: Kinds of the table: cold words, pairs of hot words, pairs (other, key) of a hot history and a cold word, pairs
+#: (key, other) of a cold history and a hot word, pairs (other, key) of two cold words.
+WORD, PAIR, BEFORE, AFTER, FAR = KINDS = range(5)
 #: Pairs of hot words; pairs with a cold word, filed by it; pairs of a cold history and a hot word, filed by the history.
 HOT, BY_WORD, BY_HISTORY = 0, 1, 2
-#: Packed blocks by partition, kind, and batch of texts (-1: the table).
+#: What a row of the lookups is about, beside HOT: cold words and their pairs, texts.
+COLD, TEXT = 1, 2
+#: Packed blocks by partition, what they are about, and batch of texts (the table: its kind less the number of kinds).
 BLOBS = "part int, kind int, batch long, a binary, b binary, c binary, d binary"
 K = 5
 #: The end token's key among words: no word is empty.
@@ -91,50 +96,73 @@ class Tally:
         self.fold()
         rows: tuple[list, list, list] = ([], [], [])
         for k, n in self.held:
-            part = _part(k, self.parts)
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(self.parts + 1))
-            for p in range(self.parts):
-                own = order[cut[p] : cut[p + 1]]
-                if len(own):
-                    for c, v in zip(rows, (p, pack(np.diff(k[own], prepend=k.dtype.type(0))), pack(n[own])), strict=True):
-                        c.append(v)
+            for p, own in _parted(k, self.parts):
+                for c, v in zip(rows, (p, _steps(k[own]), pack(n[own])), strict=True):
+                    c.append(v)
         self.held, self.size = [], 0
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["part", "keys", "counts"])
 
 
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Partitions of keys: of 64-bit hashes by range, so that sorted ones stay together, of others by a hash."""
     with np.errstate(over="ignore"):
-        return (((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+        mixed = keys if keys.dtype == np.uint64 else keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((mixed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _parted(keys: np.ndarray, parts: int):
+    """(part, its rows in their order) of sorted keys."""
+    part, order = _part(keys, parts), None
+    if keys.dtype != np.uint64:
+        order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+        part = part[order]
+    cut = np.searchsorted(part, np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cut)).tolist():
+        own = slice(cut[p], cut[p + 1])
+        yield p, own if order is None else order[own]
 
 
 def pack(values: np.ndarray) -> bytes:
     """Unsigned integers as LEB128: seven bits a byte, the high bit where more follow."""
     v = values.astype(np.uint64)
-    length = np.ones(len(v), np.int64)
-    for s in range(7, 64, 7):
-        length += v >= np.uint64(1) << np.uint64(s)
-    out = np.zeros(int(length.sum()), np.uint8)
-    at = np.cumsum(length) - length
-    for j in range(int(length.max(initial=0))):
-        some = length > j
-        byte = ((v[some] >> np.uint64(7 * j)) & np.uint64(127)).astype(np.uint8)
-        out[at[some] + j] = byte | ((length[some] > j + 1).astype(np.uint8) << 7)
-    return out.tobytes()
+    width = max(1, -(-int(v.max(initial=0)).bit_length() // 7))
+    if width == 1:
+        return v.astype(np.uint8).tobytes()
+    out, some = np.empty((len(v), width), np.uint8), np.ones((len(v), width), bool)
+    for j in range(width):
+        rest = v >> np.uint64(7 * j)
+        out[:, j] = rest
+        if j:
+            some[:, j] = rest != 0
+    out[:, :-1] = out[:, :-1] & 127 | some[:, 1:].view(np.uint8) << 7
+    return out[some].tobytes()
 
 
 def unpack(blob: bytes) -> np.ndarray:
     raw = np.frombuffer(blob, np.uint8)
     last = np.flatnonzero(raw < 128)
+    if len(last) == len(raw):
+        return raw.astype(np.uint64)
     first = np.concatenate([[0], last[:-1] + 1]).astype(np.int64)
-    length = last - first + 1
-    out = np.zeros(len(last), np.uint64)
-    for j in range(int(length.max(initial=0))):
-        some = length > j
+    out, length = (raw[first] & np.uint8(127)).astype(np.uint64), last - first + 1
+    some = np.flatnonzero(length > 1)
+    for j in range(1, 10):
+        if not len(some):
+            break
         out[some] |= (raw[first[some] + j] & np.uint8(127)).astype(np.uint64) << np.uint64(7 * j)
+        some = some[length[some] > j + 1]
     return out
 
 
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted keys, as packed differences."""
+    return pack(np.diff(keys, prepend=keys.dtype.type(0)))
+
+
+def _keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob), dtype=np.uint64)
+
+
 def _count(docs: DataFrame, keys_of, parts: int) -> DataFrame:
     """(part, key, n) over all rows of (text); ``keys_of`` gives a text's keys."""
 
@@ -220,12 +248,16 @@ class Model:
     whole: bool  # these are all pairs of hot words
     single_log: np.ndarray  # log10 P(w) by id
     back_log: np.ndarray  # log10 a(h) by id
+    hist_log: np.ndarray  # log10 by id of what d(c) c(h,w) is times, to be P(w|h)
     word_d: np.ndarray  # discounts of words
+    pair_d: np.ndarray  # discounts of pairs
     unseen_log: float  # log10 of the unseen class's share of RARE
 
     def gains(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What each pair adds as far as the broadcast goes, and whether it has to be asked for."""
-        some, back = np.unique(key, return_inverse=True)
+        """What each of sorted pairs adds as far as the broadcast goes, and whether it has to be asked for."""
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        some, back = key[new], np.cumsum(new) - 1
         gain, known = np.zeros(len(some)), np.full(len(some), self.whole)
         if len(self.pair):
             at = np.minimum(np.searchsorted(self.pair, some), len(self.pair) - 1)
@@ -234,6 +266,14 @@ class Model:
             known |= found
         return gain[back], ~known[back]
 
+    def hot_gain(self, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """What pairs of hot words add, by their training counts."""
+        h, w = (key >> key.dtype.type(16)).astype(np.int64), (key & key.dtype.type(0xFFFF)).astype(np.int64)
+        return self.hist_log[h] + self.pair_log(n) - self.back_log[h] - self.single_log[w]
+
+    def pair_log(self, n: np.ndarray) -> np.ndarray:
+        return np.log10(_d(self.pair_d, n) * n)
+
     def single(self, c: np.ndarray) -> np.ndarray:
         """P(w) of words by training count."""
         return _d(self.word_d, c) * c / (self.tokens + 1)
@@ -278,34 +318,6 @@ def _pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
         return (x ^ (x >> np.uint64(31))) | np.uint64(1 << 63)
 
 
-def _distinct(of: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct (text, key) by key, and how often each occurs."""
-    order = np.lexsort((of, key))
-    of, key = of[order], key[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (of[1:] != of[:-1]) | (key[1:] != key[:-1])
-    at = np.flatnonzero(new)
-    return of[at], key[at], np.diff(np.append(at, len(key)))
-
-
-def _parted(keys: np.ndarray, parts: int):
-    """(part, rows of that part in their order) of keys."""
-    part = _part(keys, parts)
-    order = np.argsort(part, kind="stable")
-    cut = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(cut)).tolist():
-        yield p, order[cut[p] : cut[p + 1]]
-
-
-def _steps(keys: np.ndarray) -> bytes:
-    """Sorted keys, as packed differences."""
-    return pack(np.diff(keys, prepend=keys.dtype.type(0)))
-
-
-def _keys(blob: bytes) -> np.ndarray:
-    return np.cumsum(unpack(blob), dtype=np.uint64)
-
-
 class Sides:
     """Distinct pairs (x, y) with a cold x, and their counts; flushed as blobs by x's partition."""
 
@@ -323,11 +335,12 @@ class Sides:
         if not self.held:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         x, y, n = (np.concatenate(c) for c in zip(*self.held, strict=True))
-        order = np.lexsort((y, x))
+        order = np.argsort(_pair_key(x, y))
         x, y, n = x[order], y[order], n[order]
         at = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
-        self.held = [(x[at], y[at], np.add.reduceat(n, at))]
-        self.size = len(at)
+        x, y, n = x[at], y[at], np.add.reduceat(n, at)
+        order = np.argsort(x)
+        self.held, self.size = [(x[order], y[order], n[order])], len(at)
         return self.held[0]
 
     def blobs(self) -> list[tuple]:
@@ -416,31 +429,95 @@ def _count_pairs(train: DataFrame, shared, parts: int) -> DataFrame:
     return blobs.mapInArrow(add_up, "kind int, key long, other long, n long, total long")
 
 
-class Block:
-    """Rows (key, kind, n, gain) of the table, flushed as blobs by partition, of batch -1."""
+def _table(parts: int, kind: int, key: np.ndarray, n: np.ndarray, other: np.ndarray, gain: np.ndarray) -> list[tuple]:
+    """Rows of BLOBS of a kind of the table, by key.
 
-    def __init__(self, parts: int, limit: int = 500_000):
-        self.parts, self.limit, self.size = parts, limit, 0
-        self.held: list[tuple[np.ndarray, ...]] = []
+    WORD: n is c(key), other is one where the discounts leave nothing, gain is log10 a(key).  FAR has gains and no
+    counts, the other kinds have counts and no gains.
+    """
+    order = np.argsort(key)
+    key, n, other, gain = key[order], n[order], other[order], gain[order]
+    rows = []
+    for p, own in _parted(key, parts):
+        if kind == WORD:
+            more = pack(n[own] << 1 | other[own]), gain[own].tobytes()
+        elif kind == FAR:
+            more = other[own].tobytes(), gain[own].tobytes()
+        else:
+            more = pack(n[own]), b"" if kind == PAIR else pack(other[own])
+        rows.append((p, HOT if kind == PAIR else COLD, kind - len(KINDS), _steps(key[own]), *more, b""))
+    return rows
+
+
+def _columns(kind: int, one: bytes, two: bytes, three: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, n, other, gain) of such a row."""
+    key = _keys(one)
+    n, other, gain = np.zeros(len(key), np.int64), np.zeros(len(key), np.uint64), np.zeros(len(key))
+    if kind == FAR:
+        other, gain = np.frombuffer(two, np.uint64), np.frombuffer(three)
+    else:
+        n = unpack(two).astype(np.int64)
+    if kind == WORD:
+        n, other, gain = n >> 1, (n & 1).astype(np.uint64), np.frombuffer(three)
+    elif kind in (BEFORE, AFTER):
+        other = unpack(three)
+    return key, n, other, gain
+
+
+class Lookup:
+    """What a task holds of a partition of the table: gains of pairs, and cold words. Words are added first."""
+
+    def __init__(self, model: Model):
+        self.model, self.held = model, []
+        self.word = self.pair = None
+
+    def add(self, kind: int, *blobs: bytes) -> None:
+        m = self.model
+        key, n, other, gain = _columns(kind, *blobs)
+        if kind == WORD:
+            self.held.append((key, n, other.astype(np.int64), gain))
+            return
+        if kind == PAIR:
+            self.held.append((key, m.hot_gain(key, n)))
+            return
+        words = self.words()
+        if kind == FAR:
+            self.held.append((_pair_key(other, key), gain))
+            return
+        at, id_ = np.searchsorted(words[0], key), other.astype(np.int64)
+        if kind == BEFORE:
+            self.held.append((_pair_key(other, key), m.hist_log[id_] - m.back_log[id_] + m.pair_log(n) - words[4][at]))
+        else:
+            self.held.append((_pair_key(key, other), m.pair_log(n) - np.log10(words[1] + words[2])[at] - words[3][at] - m.single_log[id_]))
+
+    def _sorted(self, columns: int) -> list[np.ndarray]:
+        if not self.held:
+            return [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * (columns - 1)]
+        got = [np.concatenate(c) for c in zip(*self.held, strict=True)]
+        order, self.held = np.argsort(got[0]), []
+        return [c[order] for c in got]
+
+    def words(self) -> list[np.ndarray]:
+        """key, c(w), one where the discounts leave nothing, log10 a(w), log10 P(w)."""
+        if self.word is None:
+            self.word = self._sorted(4)
+            self.word.append(np.log10(self.model.single(self.word[1])))
+        return self.word
 
-    def add(self, *columns: np.ndarray) -> bool:
-        """Whether it is full."""
-        self.held.append(columns)
-        self.size += len(columns[0])
-        return self.size >= self.limit
+    def gains(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What pairs add, and which of them are in the table."""
+        if self.pair is None:
+            self.pair = self._sorted(2)
+        at, hit = _find(self.pair[0], key)
+        gain = np.zeros(len(key))
+        gain[hit] = self.pair[1][at[hit]]
+        return gain, hit
 
-    def blobs(self) -> pa.RecordBatch:
-        rows = []
-        if self.held:
-            key, kind, n, gain = (np.concatenate(c) for c in zip(*self.held, strict=True))
-            for k in (WORD, PAIR):
-                some = np.flatnonzero(kind == k)
-                of = key[some].view(np.uint64)
-                order = np.argsort(of)
-                some, of = some[order], of[order]
-                rows += [(p, k, -1, _steps(of[own]), pack(n[some[own]]), gain[some[own]].tobytes(), b"") for p, own in _parted(of, self.parts)]
-        self.held, self.size = [], 0
-        return _rows(rows)
+
+def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where keys are in a sorted table, and whether they are."""
+    at = np.minimum(np.searchsorted(table, key), max(len(table) - 1, 0))
+    return at, table[at] == key if len(table) else np.zeros(len(key), bool)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -472,20 +549,24 @@ def _least(hist: dict[int, int], room: int, least: int) -> int:
 
 
 def fit(train: DataFrame, max_words: int = 60_000, max_pairs: int = 4_000_000) -> tuple[Model, DataFrame]:
-    """The model of the texts in ``train`` (one column, text), and its table (key, kind, n, gain).
+    """The model of the texts in ``train`` (one column, text), and its table (key, kind, n, gain, other).
 
-    The table holds the cold words (kind WORD) and the pairs that are not broadcast (kind PAIR).
+    The table holds the cold words and the pairs that are not broadcast. Gains are there for WORD (log10 a(key)),
+    PAIR and FAR.
     """
     model, blocks = _learn(train, max_words, max_pairs)
+    shared = train.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
-            for kind, a, n, gain in zip(*(b.column(i).to_pylist() for i in (1, 3, 4, 5)), strict=True):
-                key = _signed(_keys(a))
-                cols = [pa.array(key), pa.array(np.full(len(key), kind, np.int32)), pa.array(unpack(n).astype(np.int64)), pa.array(np.frombuffer(gain))]
-                yield pa.RecordBatch.from_arrays(cols, ["key", "kind", "n", "gain"])
+            for batch, *blobs in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                kind = batch + len(KINDS)
+                key, n, other, gain = _columns(kind, *blobs)
+                gain = shared.value.hot_gain(key, n) if kind == PAIR else gain
+                cols = [pa.array(_signed(key)), pa.array(np.full(len(key), kind, np.int32)), pa.array(n), pa.array(gain), pa.array(_signed(other))]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "kind", "n", "gain", "other"])
 
-    return model, blocks.mapInArrow(run, "key long, kind int, n long, gain double")
+    return model, blocks.mapInArrow(run, "key long, kind int, n long, gain double, other long")
 
 
 def _learn(train: DataFrame, max_words: int = 60_000, max_pairs: int = 4_000_000) -> tuple[Model, DataFrame]:
@@ -522,7 +603,7 @@ def _learn(train: DataFrame, max_words: int = 60_000, max_pairs: int = 4_000_000
     with np.errstate(divide="ignore"):
         single_log = np.log10(single)
     unseen_log = float(np.log10(left) - single_log[RARE])
-    model = Model(tokens, types, word, ident, count, none.astype(np.uint32), none, True, single_log, np.zeros(len(count)), word_d, unseen_log)
+    model = Model(tokens, types, word, ident, count, none.astype(np.uint32), none, True, single_log, np.zeros(len(count)), np.zeros(len(count)), word_d, word_d, unseen_log)
     shared = spark.sparkContext.broadcast(model)
     discard(spark, start)
     found = materialise(_count_pairs(train, shared, parts), "pairs")
@@ -534,17 +615,17 @@ def _learn(train: DataFrame, max_words: int = 60_000, max_pairs: int = 4_000_000
     d = discounts(hist2)
 
     def ends(b):
-        """h by id, log10 P(w) and the counts of pairs with a hot history."""
+        """h by id, P(w) and the counts of pairs with a hot history."""
         kind, key, other, n, total = (b.column(i).to_numpy() for i in range(5))
         by_word = kind == BY_WORD
         h = np.where(by_word, other, key >> 16)
         w = np.where(by_word, RARE, key & 0xFFFF)
-        return h, np.where(by_word, single_of(total), single[w]), n, np.where(by_word, _signed(_pair_key(other.view(np.uint64), key.view(np.uint64))), key)
+        return h, np.where(by_word, single_of(total), single[w]), n
 
     def sums(batches):
         mass, lower = np.zeros(len(count)), np.zeros(len(count))
         for b in batches:
-            h, p, n, _ = ends(b)
+            h, p, n = ends(b)
             mass += np.bincount(h, _d(d, n) * n / np.maximum(count[h], 1), len(count))
             lower += np.bincount(h, p, len(count))
         some = np.flatnonzero(mass)
@@ -556,30 +637,40 @@ def _learn(train: DataFrame, max_words: int = 60_000, max_pairs: int = 4_000_000
     for x, name in ((mass, "mass"), (lower, "lower")):
         x[by_h.column("h").to_numpy()] = by_h.column(name).to_numpy()
     back, scale = _weights(count, mass, lower)
-    back_log = np.log10(back)
-
-    def gain_of(b):
-        h, p, n, key = ends(b)
-        return key, np.full(len(key), PAIR), n, np.log10(scale[h] * _d(d, n) * n / np.maximum(count[h], 1)) - back_log[h] - np.log10(p)
+    back_log, hist_log = np.log10(back), np.log10(scale) - np.log10(np.maximum(count, 1))
+    model.back_log, model.hist_log, model.pair_d = back_log, hist_log, d
+    known = replace(model)
 
     def gains(batches):
         for b in batches:
-            key, _, _, gain = gain_of(b)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(gain)], ["key", "gain"])
+            key = b.column(1)
+            yield pa.RecordBatch.from_arrays([key, pa.array(known.hot_gain(key.to_numpy(), b.column(3).to_numpy()))], ["key", "gain"])
+
+    def hot_blobs(batches):
+        """Of the pairs with a hot history."""
+        held = []
+
+        def out():
+            kind, key, other, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            rows, none = [], np.zeros(len(key))
+            for some, kind, of in ((kind == HOT, PAIR, np.uint32), (kind == BY_WORD, BEFORE, np.uint64)):
+                rows += _table(parts, kind, key[some].astype(of), n[some], other[some], none[some])
+            return _rows(rows)
 
-    def gain_blobs(batches):
-        block = Block(parts)
         for b in batches:
-            if block.add(*gain_of(b)):
-                yield block.blobs()
-        yield block.blobs()
+            held.append(tuple(b.column(i).to_numpy() for i in range(4)))
+            if sum(len(x[0]) for x in held) > 500_000:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
 
     pair_cut = _least(hist_hot, max_pairs, 1)
     often = (F.col("kind") == HOT) & (F.col("n") >= pair_cut)
     hot = found.where(often).mapInArrow(gains, "key long, gain double").toArrow()
     pair = hot.column("key").to_numpy().astype(np.uint32)
     order = np.argsort(pair)
-    model.pair, model.pair_gain, model.back_log = pair[order], hot.column("gain").to_numpy()[order], back_log
+    model.pair, model.pair_gain = pair[order], hot.column("gain").to_numpy()[order]
     model.whole = pair_cut <= 1
     shared.unpersist()
 
@@ -589,7 +680,7 @@ def _learn(train: DataFrame, max_words: int = 60_000, max_pairs: int = 4_000_000
 
         def out():
             h, w, n, c = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h)
             h, w, n, c = h[order], w[order], n[order], c[order]
             rows = [(p, _steps(h[own]), pack(w[own]), pack(n[own]), pack(c[own])) for p, own in _parted(h, parts)]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(5)], ["part", "h", "w", "n", "c"])
@@ -609,7 +700,7 @@ def _learn(train: DataFrame, max_words: int = 60_000, max_pairs: int = 4_000_000
 
         def out():
             h, w, n, c = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h)
             h, w, n, c = h[order], w[order], n[order].astype(np.int64), c[order].astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
@@ -617,13 +708,13 @@ def _learn(train: DataFrame, max_words: int = 60_000, max_pairs: int = 4_000_000
             times = np.add.reduceat(n, first)
             share = _d(d, n) * n / times[of]
             back, scale = _weights(times, np.add.reduceat(share, first), np.add.reduceat(p, first))
-            gain = np.log10(scale[of] * share) - np.log10(back)[of] - np.log10(p)
-            key = np.concatenate([h[first], _pair_key(h, w)])
-            kind = np.repeat(np.array([WORD, PAIR], np.int32), [len(first), len(h)])
-            n, gain = np.concatenate([times, n]), np.concatenate([np.log10(single_of(times)) + np.log10(back), gain])
-            block = Block(parts)
-            block.add(key, kind, n, gain)
-            return block.blobs()
+            back = np.log10(back)
+            rows = _table(parts, WORD, h[first], times, (scale < 1).astype(np.int64), back)
+            far = w >= IDS
+            gain = np.zeros(len(h))
+            gain[far] = (np.log10(scale[of] * share) - back[of] - np.log10(p))[far]
+            rows += _table(parts, AFTER, h[~far], n[~far], w[~far], gain[~far])
+            return _rows(rows + _table(parts, FAR, w[far], n[far], h[far], gain[far]))
 
         for b in batches:
             for part, h, *more in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -637,7 +728,7 @@ def _learn(train: DataFrame, max_words: int = 60_000, max_pairs: int = 4_000_000
 
     cold = found.where((F.col("kind") == BY_HISTORY) | (F.col("kind") == BY_WORD) & ~F.col("other").between(0, IDS - 1))
     cold = cold.mapInArrow(by_history, "part int, h binary, w binary, n binary, c binary").repartition(parts, "part").sortWithinPartitions("part")
-    return model, hot_history.where(~often).mapInArrow(gain_blobs, BLOBS).unionByName(cold.mapInArrow(cold_gains, BLOBS))
+    return model, hot_history.where(~often).mapInArrow(hot_blobs, BLOBS).unionByName(cold.mapInArrow(cold_gains, BLOBS))
 
 
 def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
@@ -645,25 +736,23 @@ def score(docs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):
-        block = Block(parts)
         for b in batches:
-            if block.add(*(b.column(i).to_numpy() for i in range(4))):
-                yield block.blobs()
-        yield block.blobs()
+            kind, key, n, other, gain = (b.column(i).to_numpy() for i in range(5))
+            rows = []
+            for k in KINDS:
+                some = kind == k
+                rows += _table(parts, k, key[some].astype(np.uint32 if k == PAIR else np.uint64), n[some], other[some].astype(np.uint64 if k == FAR else np.int64), gain[some])
+            yield _rows(rows)
 
-    return _score(docs, model, table.select("key", "kind", "n", "gain").mapInArrow(run, BLOBS))
+    return _score(docs, model, table.select("kind", "key", "n", "other", "gain").mapInArrow(run, BLOBS))
 
 
-def _score(docs: DataFrame, model: Model, blocks: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shared = spark.sparkContext.broadcast(model)
-    docs = docs.select("doc_id", "text")
-    doc_type = docs.schema["doc_id"].dataType.simpleString()
-    blobs = f"{BLOBS}, ids array<{doc_type}>"
+def _with_ids(rows: pa.RecordBatch, ids: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*rows.columns, ids], [*rows.schema.names, "ids"])
+
 
-    def with_ids(rows: pa.RecordBatch, ids: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*rows.columns, ids], [*rows.schema.names, "ids"])
+def _questions(docs: DataFrame, shared, parts: int) -> DataFrame:
+    """BLOBS and ids, of (doc_id, text): the texts, and what has to be looked up for them."""
 
     def ask(batches):
         """Of each batch of texts, a row of sums over what is broadcast, and rows of keys to be looked up."""
@@ -680,59 +769,71 @@ def _score(docs: DataFrame, model: Model, blocks: DataFrame) -> DataFrame:
                 before = np.roll(got, 1)
                 before[start] = BEGIN
                 ids, h, cold = _ids(got), _ids(before), got >= IDS
-                hot = ~(cold | (before >= IDS))
-                pair = (h << 16 | ids).astype(np.uint32)
-                gain, more = np.zeros(len(got)), np.zeros(len(got), bool)
-                gain[hot], more[hot] = m.gains(pair[hot])
-                key = np.concatenate([pair[more].astype(np.uint64), _pair_key(before[~hot], got[~hot])])
+                hot = np.flatnonzero(~(cold | (before >= IDS)))
+                pair = (h[hot] << 16 | ids[hot]).astype(np.uint32)
+                order = np.argsort(pair)
+                pair, hot = pair[order], hot[order]
+                gain = np.zeros(len(got))
+                gain[hot], more = m.gains(pair)
                 add_up = lambda x: np.add.reduceat(x, start)  # noqa: B023, E731
                 known = add_up((~cold).astype(np.int64)) if m.tokens else np.zeros(n, np.int64)
                 sums = add_up(m.back_log[h] + single_log[ids] + gain)
                 rows = [(place % parts, TEXT, place, size.tobytes(), add_up(base_by_id[ids]).tobytes(), sums.tobytes(), known.tobytes())]
-                for kind, text, keys in ((WORD, of[cold], got[cold]), (PAIR, np.concatenate([of[more], of[~hot]]), key)):
-                    text, keys, times = _distinct(text, keys)
-                    rows += [(p, kind, place, _steps(keys[own]), pack(text[own]), pack(times[own]), b"") for p, own in _parted(keys, parts)]
+                pair, text = pair[more], of[hot[more]]
+                rows += [(p, HOT, place, _steps(pair[own]), pack(text[own]), b"", b"") for p, own in _parted(pair, parts)]
+                at = np.flatnonzero(cold)
+                at = at[np.argsort(got[at])]
+                word, text, after = got[at], of[at], got[at + 1]  # an end follows
+                after[after >= IDS] = RARE
+                rows += [(p, COLD, place, _steps(word[own]), pack(text[own]), pack(before[at[own]]), pack(after[own])) for p, own in _parted(word, parts)]
                 ends = pa.array([0, *[n] * len(rows)], pa.int32())
-                yield with_ids(_rows(rows), pa.ListArray.from_arrays(ends, b.column(0)))
+                yield _with_ids(_rows(rows), pa.ListArray.from_arrays(ends, b.column(0)))
                 place += 1
 
+    return docs.mapInArrow(ask, f"{BLOBS}, ids array<{docs.schema['doc_id'].dataType.simpleString()}>")
+
+
+def _score(docs: DataFrame, model: Model, blocks: DataFrame) -> DataFrame:
+    spark = docs.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shared = spark.sparkContext.broadcast(model)
+    questions = _questions(docs.select("doc_id", "text"), shared, parts)
+    doc_type = docs.schema["doc_id"].dataType.simpleString()
+
     def answer(batches):
-        """Rows of texts as they are, and for each row of keys its sums by text."""
-        m, at, held, table = shared.value, None, [], None
-        unseen = m.single_log[RARE] + m.unseen_log
+        """Rows of texts as they are, and for each row of questions its sums by text."""
+        m, at, known = shared.value, None, None
+        unseen, unseen_base = m.single_log[RARE] + m.unseen_log, m.base_log(0)
         for b in batches:
-            kinds = b.column(1).to_numpy()
-            yield b.filter(pa.array(kinds == TEXT))
+            yield b.filter(pa.array(b.column(1).to_numpy() == TEXT))
             rows = []
-            for part, kind, batch, one, two, three in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for part, kind, batch, one, two, three, four in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 if kind == TEXT:
                     continue
                 if (part, kind) != at:
-                    at, held, table = (part, kind), [], None
+                    at, known = (part, kind), Lookup(m)
                 if batch < 0:
-                    held.append((_keys(one), unpack(two).astype(np.int64), np.frombuffer(three)))
+                    known.add(batch + len(KINDS), one, two, three)
                     continue
-                if table is None:
-                    keys, n, gain = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
-                    order = np.argsort(keys)
-                    table, held = (keys[order], n[order] if kind == WORD else n, gain[order]), []
-                keys, of, times = _keys(one), unpack(two).astype(np.int64), unpack(three).astype(np.int64)
-                place = np.minimum(np.searchsorted(table[0], keys), max(len(table[0]) - 1, 0))
-                hit = table[0][place] == keys if len(table[0]) else np.zeros(len(keys), bool)
-                value, base, known = np.zeros(len(keys)), b"", b""
-                value[hit] = table[2][place[hit]] * times[hit]
-                if kind == WORD:
-                    value[~hit] = unseen * times[~hit]
-                    c = np.zeros(len(keys), np.int64)
-                    c[hit] = table[1][place[hit]]
-                    texts = np.unique(of)
-                    base, known = np.bincount(of, m.base_log(c) * times)[texts].tobytes(), pack(np.bincount(of, hit * times)[texts].astype(np.int64))
+                key, of, base, found = _keys(one), unpack(two).astype(np.int64), b"", b""
+                if kind == HOT:
+                    value, some = known.gains(key)
+                    texts = np.unique(of[some])
                 else:
-                    texts = np.unique(of[hit])
+                    words, texts = known.words(), np.unique(of)
+                    place, hit = _find(words[0], key)
+                    place, value, bases = place[hit], np.full(len(key), unseen), np.full(len(key), unseen_base)
+                    value[hit] = words[3][place] + words[4][place]
+                    bases[hit] = m.base_log(words[1][place])
+                    before, after = unpack(three), unpack(four)
+                    some = np.flatnonzero(after)
+                    value += known.gains(_pair_key(before, key))[0]
+                    value[some] += known.gains(_pair_key(key[some], after[some]))[0]
+                    base, found = np.bincount(of, bases)[texts].tobytes(), pack(np.bincount(of, hit)[texts])
                 if len(texts):
-                    rows.append((part, kind, batch, _steps(texts), base, np.bincount(of, value)[texts].tobytes(), known))
+                    rows.append((part, kind, batch, _steps(texts), base, np.bincount(of, value)[texts].tobytes(), found))
             if rows:
-                yield with_ids(_rows(rows), pa.nulls(len(rows), b.column(7).type))
+                yield _with_ids(_rows(rows), pa.nulls(len(rows), b.column(7).type))
 
     def finish(batches):
         """The rows of a batch of texts come first, then the sums to be added."""
@@ -751,15 +852,15 @@ def _score(docs: DataFrame, model: Model, blocks: DataFrame) -> DataFrame:
                     continue
                 texts = _keys(one).astype(np.int64)
                 held[4][texts] += np.frombuffer(three)
-                if kind == WORD:
+                if kind == COLD:
                     held[3][texts] += np.frombuffer(two)
                     held[5][texts] += unpack(four).astype(np.int64)
         if held:
             yield out()
 
-    asked = blocks.unionByName(docs.mapInArrow(ask, blobs), allowMissingColumns=True)
+    asked = blocks.unionByName(questions, allowMissingColumns=True)
     asked = asked.repartition(parts, "part").sortWithinPartitions("part", "kind", "batch")
-    told = asked.mapInArrow(answer, blobs).repartition(parts, "batch").sortWithinPartitions("batch", F.col("kind").desc())
+    told = asked.mapInArrow(answer, questions.schema).repartition(parts, "batch").sortWithinPartitions("batch", F.col("kind").desc())
     return told.mapInArrow(finish, f"doc_id {doc_type}, n_tokens long, n_known long, base_score double, score double")
 
 
