@@ -33,12 +33,13 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashMemo, ascii_words, crc_fold, discard, drop_shuffles, made, materialise, sliced
+from .common import crc_fold, discard, drop_shuffles, made, materialise, sliced
 
 RARE, END, BEGIN = 0, 1, 2
 #: Vocabulary ids are below this.
@@ -53,8 +54,9 @@ COLD, TEXT = 1, 2
 #: Packed blocks by partition, what they are about, and batch of texts (the table: its kind less the number of kinds).
 BLOBS = "part int, kind int, batch long, a binary, b binary, c binary, d binary"
 K = 5
+_hash = xxhash.xxh64_intdigest
 #: The end token's key among words: no word is empty.
-END_KEY = xxhash.xxh64_intdigest(b"")
+END_KEY = _hash(b"")
 
 
 def _signed(keys: np.ndarray) -> np.ndarray:
@@ -76,8 +78,8 @@ class Tally:
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, keys: np.ndarray) -> None:
-        k, n = _counted(keys)
+    def add(self, keys: np.ndarray, weights: np.ndarray | None = None) -> None:
+        k, n = _counted(keys, weights)
         self.held.append((k, n))
         self.size += len(k)
 
@@ -163,16 +165,37 @@ def _keys(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob), dtype=np.uint64)
 
 
-def _count(docs: DataFrame, keys_of, parts: int) -> DataFrame:
-    """(part, key, n) over all rows of (text); ``keys_of`` gives a text's keys."""
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct ``ascii_words`` of texts, which of them each word is, and how many words a text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    size = lists.value_lengths().to_numpy().astype(np.int64)
+    found = lists.flatten().dictionary_encode()
+    at, key = found.indices.to_numpy(), np.zeros(0, np.uint64)
+    if len(at):
+        words = found.dictionary.cast(pa.large_binary())
+        _, ends, data = words.buffers()
+        cut = np.frombuffer(ends, np.int64)[words.offset : words.offset + len(words) + 1].tolist()
+        raw = data.to_pybytes() if data else b""
+        # a word is hashed once a batch: that takes less time than a memo of all words
+        key = np.fromiter((_hash(raw[a:b]) for a, b in zip(cut, cut[1:], strict=False)), np.uint64, len(words))
+        none = np.flatnonzero(np.diff(cut) == 0)
+        if len(none):  # around white space at a text's ends
+            some = at != none[0]
+            size = np.bincount(np.repeat(np.arange(len(size)), size)[some], minlength=len(size))
+            at = at[some]
+    return key, at, size
+
+
+def _count(docs: DataFrame, parts: int) -> DataFrame:
+    """(part, key, n) of the words, by hash, and ends of all rows of (text)."""
 
     def gather(batches):
-        tally, ready = Tally(parts), keys_of()
+        tally = Tally(parts)
         for big in batches:
             for b in sliced(big):
-                got = [ready(t) for t in b.column(0).to_pylist()]
-                if got:
-                    tally.add(np.concatenate(got))
+                key, at, size = _words(b.column(0))
+                n = np.bincount(at, minlength=len(key))
+                tally.add(np.append(key[n > 0], np.uint64(END_KEY)), np.append(n[n > 0], len(size)))
                 if tally.full():
                     yield tally.blobs()
         if tally.held:
@@ -286,23 +309,17 @@ class Model:
         return np.log10((c + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
 
 
-class IdMemo(dict):
-    """word -> id of a hot word, or the hash of another.  At most ``limit`` words are remembered."""
-
-    def __init__(self, model: Model, limit: int = 150_000):
-        super().__init__()
-        self.known, self.limit = dict(zip(model.word.tolist(), model.ident.tolist(), strict=True)), limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word)
-        self[word] = i = self.known.get(h, h if h >= IDS else h + IDS)
-        return i
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        """A text's words and its end; values from IDS on are hashes."""
-        return np.fromiter([*map(self.__getitem__, words), END], np.uint64, len(words) + 1)
+def _tokens(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of texts, each text's with its end, and how many these are; ids of hot words, and from IDS on hashes."""
+    key, at, size = _words(texts)
+    place, hot = _find(model.word, key)
+    key = np.where(key < IDS, key + np.uint64(IDS), key)
+    key[hot] = model.ident[place[hot]]
+    got = np.full(len(at) + len(size), END, np.uint64)
+    word = np.ones(len(got), bool)
+    word[np.cumsum(size + 1) - 1] = False
+    got[word] = key[at]
+    return got, size + 1
 
 
 def _ids(got: np.ndarray) -> np.ndarray:
@@ -356,7 +373,7 @@ def _count_pairs(train: DataFrame, shared, parts: int) -> DataFrame:
     """
 
     def gather(batches):
-        memo = IdMemo(shared.value)
+        model = shared.value
         hot, by_word, by_history = Tally(parts, 2_000_000), Sides(BY_WORD, parts), Sides(BY_HISTORY, parts)
 
         def out():
@@ -368,11 +385,7 @@ def _count_pairs(train: DataFrame, shared, parts: int) -> DataFrame:
 
         for big in batches:
             for b in sliced(big):
-                each = [memo.array(ascii_words(text)) for text in b.column(0).to_pylist()]
-                if not each:
-                    continue
-                w = np.concatenate(each)
-                size = np.fromiter(map(len, each), np.int64, len(each))
+                w, size = _tokens(model, b.column(0))
                 h = np.roll(w, 1)
                 h[np.cumsum(size) - size] = BEGIN
                 cold_h, cold_w = h >= IDS, w >= IDS
@@ -577,11 +590,7 @@ def _learn(train: DataFrame, max_words: int = 60_000, max_pairs: int = 4_000_000
         raise ValueError("a hot word's id has 16 bits")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def words():
-        memo = HashMemo()
-        return lambda text: np.append(memo.array(ascii_words(text)), np.uint64(END_KEY))
-
-    table = materialise(_count(train, words, parts), "words")
+    table = materialise(_count(train, parts), "words")
     end = _signed(np.array([END_KEY], np.uint64))[0]
     hist = _histogram(table)
     tokens, types = sum(c * k for c, k in hist.items()), sum(hist.values())
@@ -757,15 +766,14 @@ def _questions(docs: DataFrame, shared, parts: int) -> DataFrame:
     def ask(batches):
         """Of each batch of texts, a row of sums over what is broadcast, and rows of keys to be looked up."""
         m = shared.value
-        memo, place = IdMemo(m), TaskContext.get().partitionId() << 32
+        place = TaskContext.get().partitionId() << 32
         base_by_id, single_log = m.base_log(m.count), m.single_log.copy()
         base_by_id[RARE] = single_log[RARE] = 0
         for big in batches:
             for b in sliced(big, 2_000_000):
                 n = b.num_rows
-                each = [memo.array(ascii_words(text)) for text in b.column(1).to_pylist()]
-                size = np.fromiter(map(len, each), np.int64, n)
-                start, of, got = np.cumsum(size) - size, np.repeat(np.arange(n), size), np.concatenate(each)
+                got, size = _tokens(m, b.column(1))
+                start, of = np.cumsum(size) - size, np.repeat(np.arange(n), size)
                 before = np.roll(got, 1)
                 before[start] = BEGIN
                 ids, h, cold = _ids(got), _ids(before), got >= IDS

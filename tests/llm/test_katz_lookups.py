@@ -3,9 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from arrowleaf.llm import katz
+from arrowleaf.llm.common import ascii_words
 
 
 def test_lookups_stay_small(spark, monkeypatch):
@@ -45,3 +48,14 @@ def test_table_rows_come_back(kind):
         assert kind == katz.FAR or got[k][0] == n[i]
         assert kind == katz.PAIR or got[k][1] == other[i]
         assert kind not in (katz.WORD, katz.FAR) or got[k][2] == gain[i]
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_words_of_a_batch(kind):
+    texts = [None, "", " ", "a", " A  b\tc\nd\x0be\x0cf\rg ", "x\x1cy\x1dz\x1f \x85 \xa0nb\u2003em", "ÉTÉ İSTANBUL ẞ ǅ 漢字 😀", "a\x00b \x00", "b a b a"]
+    for some in (texts, texts[:3], texts[3:4], []):
+        key, at, size = katz._words(pa.array(some, kind))
+        assert key[at].tolist() == [xxhash.xxh64_intdigest(w) for t in some for w in ascii_words(t)]
+        assert size.tolist() == [len(ascii_words(t)) for t in some]
+    sliced = pa.array(texts, kind).slice(4, 3)
+    assert katz._words(sliced)[2].tolist() == [len(ascii_words(t)) for t in texts[4:7]]
